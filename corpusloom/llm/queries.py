@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cutting, splits
+from . import cutting, formatting, splits
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,10 +46,33 @@ def p4_pieces(spark, sf):
     return _oversized(spark, sf)
 
 
+def p6_found(spark, sf):
+    return formatting.collapse(_t(spark, sf, "open_india_law_legislation"))[1]
+
+
+def p6_records(spark, sf):
+    return formatting.collapse(_t(spark, sf, "open_india_law_legislation"))[0]
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
+_FOLD = r"lower(regexp_replace({}, '[^\p{{L}}\p{{Nd}}\p{{M}}]+', '', 'g'))"
+
+
+def _field(name: str) -> str:
+    return _FOLD.format(rf"regexp_extract(text, '(?is)(?:^|[^\p{{L}}\p{{N}}\p{{M}}]){name}\s*:(.*?)(?:[^\p{{L}}\p{{N}}\p{{M}}](?:Act|Section|State|Status|Text)\s*:|$)', 1)")
+
+
+_NAMED = " AND ".join(rf"regexp_matches(text, '(?i)(?:^|[^\p{{L}}\p{{N}}\p{{M}}]){f}\s*:')" for f in formatting.FIELDS)
+_CANON = f"""
+WITH c AS (SELECT record_id, {_FOLD.format("coalesce(section_number, '')")} AS s,
+  CASE WHEN {_NAMED} THEN {" || chr(1) || ".join(_field(f) for f in formatting.FIELDS)} || chr(1) ELSE {_FOLD.format("text")} END AS t
+  FROM open_india_law_legislation),
+g AS (SELECT record_id, min(record_id) OVER (PARTITION BY s, t) AS kept_id FROM c WHERE regexp_matches(t, '[\\p{{L}}\\p{{Nd}}]'))"""
 _KEY = r"regexp_replace(lower(act_id), '[^\p{L}\p{Nd}]', '', 'g')"
 ORACLES = {
+    "p6_found": _CANON + "SELECT kept_id, record_id AS copy_id FROM g WHERE record_id <> kept_id",
+    "p6_records": _CANON + "SELECT kept_id, count(*) AS n_copies FROM g GROUP BY kept_id",
     "p1_found": rf"""
 WITH RECURSIVE r AS (SELECT act_id, source_id FROM splits UNION SELECT act_id, source_id FROM qa_v1),
 k AS (SELECT act_id, {_KEY} AS act, source_id FROM r WHERE {_KEY} <> ''),
