@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cutting, formatting, splits
+from ..session import written
+from . import budget, cutting, encoding, formatting, mixing, splits
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,6 +55,33 @@ def p6_records(spark, sf):
     return formatting.collapse(_t(spark, sf, "open_india_law_legislation"))[0]
 
 
+def p7_ids(spark, sf):
+    return encoding.encode(_t(spark, sf, "documents"))
+
+
+def p2_splits(spark, sf):
+    rows = _t(spark, sf, "splits")
+    slices = rows.select(
+        "row_id", budget.spelled(F.col("source_publisher")).alias("source_publisher"), budget.spelled(F.col("state")).alias("state"),
+        budget.text_language(F.col("text")).alias("language"), F.length("text").alias("chars"),
+    )
+    return budget.roll_up(slices.join(encoding.token_counts(rows, "row_id"), "row_id"), ["source_publisher", "state", "language"])
+
+
+def _mixture(spark, sf):
+    rows = _t(spark, sf, "documents")
+    counted = rows.select("doc_id", "source").join(encoding.token_counts(rows, "doc_id"), "doc_id")
+    return mixing.mix(written(counted, "p8-tokens"), _t(spark, sf, "mix_targets"))
+
+
+def p8_mixture(spark, sf):
+    return _mixture(spark, sf)[0]
+
+
+def p8_report(spark, sf):
+    return _mixture(spark, sf)[1]
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 _FOLD = r"lower(regexp_replace({}, '[^\p{{L}}\p{{Nd}}\p{{M}}]+', '', 'g'))"
