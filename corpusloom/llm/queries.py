@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import written
-from . import budget, cutting, encoding, formatting, mixing, splits
+from . import budget, cutting, encoding, formatting, mixing, splits, subjects
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -82,6 +82,26 @@ def p8_report(spark, sf):
     return _mixture(spark, sf)[1]
 
 
+def _areas(spark, sf):
+    return subjects.assign(_t(spark, sf, "documents"), _t(spark, sf, "subject_labels"), _t(spark, sf, "subjects"))
+
+
+def p9_found(spark, sf):
+    return _areas(spark, sf).select("doc_id", "subject")
+
+
+def p9_composition(spark, sf):
+    return _areas(spark, sf).groupBy("subject").agg(F.count("*").alias("n_docs"))
+
+
+def p2_documents(spark, sf):
+    rows = _t(spark, sf, "documents")
+    areas = _areas(spark, sf).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("subject")), "+").alias("subject"))
+    slices = rows.select("doc_id", budget.spelled(F.col("source")).alias("source"), budget.spelled(F.col("lang")).alias("lang"), F.length("text").alias("chars"))
+    counted = slices.join(encoding.token_counts(rows, "doc_id"), "doc_id").join(areas, "doc_id", "left")
+    return budget.roll_up(counted.withColumn("subject", F.coalesce("subject", F.lit("none"))), ["source", "lang", "subject"])
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 _FOLD = r"lower(regexp_replace({}, '[^\p{{L}}\p{{Nd}}\p{{M}}]+', '', 'g'))"
