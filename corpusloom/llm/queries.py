@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import written
-from . import budget, cutting, encoding, formatting, mixing, splits, subjects
+from . import budget, cutting, encoding, formatting, mixing, overlap, splits, subjects
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -102,6 +102,15 @@ def p2_documents(spark, sf):
     return budget.roll_up(counted.withColumn("subject", F.coalesce("subject", F.lit("none"))), ["source", "lang", "subject"])
 
 
+def p5_found(spark, sf):
+    return overlap.overlaps(_t(spark, sf, "splits")).select("row_id_a", "row_id_b")
+
+
+def p5_report(spark, sf):
+    rows = _t(spark, sf, "splits")
+    return overlap.report(overlap.overlaps(rows), rows)
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 _FOLD = r"lower(regexp_replace({}, '[^\p{{L}}\p{{Nd}}\p{{M}}]+', '', 'g'))"
