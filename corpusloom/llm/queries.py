@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import written
-from . import budget, cutting, encoding, formatting, mixing, overlap, splits, subjects
+from . import budget, cutting, encoding, formatting, mixing, overlap, scans, splits, subjects
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -111,6 +111,14 @@ def p5_report(spark, sf):
     return overlap.report(overlap.overlaps(rows), rows)
 
 
+def p3_found(spark, sf):
+    return scans.found(_t(spark, sf, "indian_contract_act_1872_chunks"))
+
+
+def p3_repaired(spark, sf):
+    return scans.repaired(_t(spark, sf, "indian_contract_act_1872_chunks"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 _FOLD = r"lower(regexp_replace({}, '[^\p{{L}}\p{{Nd}}\p{{M}}]+', '', 'g'))"
