@@ -301,9 +301,12 @@ def restore(lines: list[tuple[int, str]], lex: Lexicon) -> str:
 
 _NUM = r"([0-9]{1,5}|[ivxlcIVXLC]{1,7})"
 _MARK = r"[\p{P}\p{S}\s]"
-_ONLY = rf"^{_MARK}*(?:(?i:page|pg|p|no)\.?\s+)?{_NUM}{_MARK}*$"
-_LEAD = rf"^{_MARK}*(?:(?i:page|pg|p|no)\.?\s+)?{_NUM}{_MARK}*\s{{2,}}(\S.*\S)\s*$"
-_TAIL = rf"^\s*(\S.*?\S)\s{{2,}}{_MARK}*(?:(?i:page|pg|p|no)\.?\s+)?{_NUM}{_MARK}*$"
+_OF = r"(?:\s*(?:of|/)\s*[0-9]{1,5})?"
+_ONLY = rf"^{_MARK}*(?:(?i:page|pg|p|no)\.?\s+)?{_NUM}{_OF}{_MARK}*$"
+_LEAD = rf"^{_MARK}*(?:(?i:page|pg|p|no)\.?\s+)?{_NUM}{_OF}{_MARK}*\s{{2,}}(\S.*\S)\s*$"
+_TAIL = rf"^\s*(\S.*?\S)\s{{2,}}{_MARK}*(?:(?i:page|pg|p|no)\.?\s+)?{_NUM}{_OF}{_MARK}*$"
+#: A number that ends a sentence, alone on its line.
+_SENTENCE_END = r"[0-9ivxlc]\)?[.,;:]$"
 #: Readings that one key takes together, for headers read differently on different pages; applied in this order.
 _FOLDS = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("in", "m"))
 
@@ -326,7 +329,7 @@ def roman(c: Column) -> Column:
 
 
 def lines_of(chunks: DataFrame) -> DataFrame:
-    """Short lines with what they may hold of furniture: chunk_id, source_file, page, field, line_no, number, roman, marked, head, key, after_chapter."""
+    """Short lines with what they may hold of furniture: chunk_id, source_file, page, field, line_no, number, roman, alone, marked, style, key, cased."""
     x = chunks.select("chunk_id", "source_file", "page", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.split(F.col(f), "\n").alias("l")) for f in FIELDS])).alias("x"))
     x = x.select("chunk_id", "source_file", "page", "x.field", F.transform("x.l", lambda s, i: F.struct(s.alias("s"), F.when(i > 0, F.get("x.l", i - 1)).alias("b"))).alias("l"))
     x = x.select("chunk_id", "source_file", "page", "field", F.posexplode("l").alias("at", "l")).select(
@@ -339,10 +342,11 @@ def lines_of(chunks: DataFrame) -> DataFrame:
     title = F.col("head").rlike(r"\p{L}.*\p{L}.*\p{L}") & ~F.col("head").rlike(r"(?<![\p{L}\p{N}\p{S}@'’-])\p{Ll}[\p{L}\p{N}@†]{3,}") & ~F.col("head").rlike(r"^\(?[0-9a-z]{1,4}[.)]\s")
     return x.select(
         "chunk_id", "source_file", "page", "field", "line_no", "s",
-        F.when(F.col("digits") == "", None).when(F.col("digits").rlike("^[0-9]"), F.col("digits").cast("int")).otherwise(roman("digits")).alias("number"),
+        F.when((F.col("digits") == "") | F.col("s").rlike(_SENTENCE_END), None).when(F.col("digits").rlike("^[0-9]"), F.col("digits").cast("int")).otherwise(roman("digits")).alias("number"),
         F.col("digits").rlike("^[a-zA-Z]").alias("roman"), (F.col("only") != "").alias("alone"),
         F.col("s").rlike(r"^[\p{P}\p{S}].*[0-9ivxlc]|[0-9ivxlc]\s*[\p{P}\p{S}]+$|(?i)^(?:page|pg|p)\.?\s").alias("marked"),
-        F.when(title & ~F.col("b").rlike(r"(?i)^(?:chapter|part|schedule)\b.{0,8}$"), _fold(F.col("head"))).alias("key"),
+        F.when(F.col("only") != "", F.regexp_replace(F.regexp_replace("s", "[0-9]+|[ivxlcIVXLC]+", "9"), r"\s+\.$|\s", "")).otherwise("beside").alias("style"),
+        F.when(title & ~F.col("b").rlike(r"(?i)^(?:chapter|part|schedule)\b.{0,8}$"), _fold(F.col("head"))).alias("key"), F.col("head").rlike(r"\p{Lu}").alias("cased"),
     ).where("number is not null or length(key) >= 6")
 
 
@@ -352,15 +356,17 @@ def furniture(chunks: DataFrame, common: float = 0.02) -> DataFrame:
     lines = written(lines_of(named), "p3-lines")
     files = named.agg(F.approx_count_distinct("source_file")).first()[0]
     # headers: on two pages of the file and more, in few of the files
-    per = lines.where("length(key) >= 6").groupBy("source_file", "key").agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages"))
+    # headers of scripts without case need more pages; section titles come back by their nature and are no evidence
+    per = lines.where("length(key) >= 6 and field = 'text'").groupBy("source_file", "key").agg(
+        F.count("*").alias("n"), (F.countDistinct("page") - F.when(F.max("cased"), 0).otherwise(2)).alias("pages"))
     spread = per.groupBy("key").agg(F.count("*").alias("files")).where(F.col("files") <= F.lit(max(2.0, common * files)))
     rare = per.join(spread, "key").select("source_file", "key", ((F.col("pages") >= 2) & (F.col("n") >= 2)).alias("returns"))
     # numbers: the usual distance to the page's own number
     shift = (
         lines.where("number is not null and page is not null").withColumn("shift", F.col("number") - F.col("page"))
-        .groupBy("source_file", "roman", "shift").agg(F.countDistinct("page").alias("pages"), F.sum(F.col("marked").cast("int")).alias("m"))
-        .groupBy("source_file", "roman").agg(F.max_by(F.struct("shift", "pages"), F.struct("pages", "m", -F.abs("shift"))).alias("best"))
-        .select("source_file", "roman", F.col("best.shift").alias("usual"), F.col("best.pages").alias("support"))
+        .groupBy("source_file", "roman", "style", "shift").agg(F.countDistinct("page").alias("pages"), F.sum(F.col("marked").cast("int")).alias("m"))
+        .groupBy("source_file", "roman").agg(F.max_by(F.struct("shift", "pages", "style"), F.struct("pages", "m", -F.abs("shift"), "style")).alias("best"))
+        .select("source_file", "roman", F.col("best.shift").alias("usual"), F.col("best.pages").alias("support"), F.col("best.style").alias("usual_style"))
     )
     x = lines.join(rare, ["source_file", "key"], "left").join(shift, ["source_file", "roman"], "left")
     x = x.withColumn("returns", F.coalesce("returns", F.lit(False))).withColumn("rare", F.col("key").isNotNull() & F.col("returns").isNotNull())
@@ -368,12 +374,13 @@ def furniture(chunks: DataFrame, common: float = 0.02) -> DataFrame:
     # beside: what the neighbouring line of the same field is
     w = Window.partitionBy("chunk_id", "field").orderBy("line_no").rowsBetween(-2, 2)
     near = lambda what: F.exists(F.collect_list(F.when(what, F.col("line_no"))).over(w), lambda y: F.abs(y - F.col("line_no")) == 1)
-    sure = F.col("number").isNotNull() & fits & (F.col("support") >= 2)
+    alike = ~F.col("alone") | (F.col("usual_style") == "beside") | (F.col("style") == F.col("usual_style"))
+    sure = F.coalesce(F.col("number").isNotNull() & fits & alike & (F.col("support") >= 2), F.lit(False))
     x = x.withColumn("sure", sure).withColumn("by_header", near(F.col("returns") & F.col("key").isNotNull())).withColumn("by_number", near(F.col("sure") & F.col("alone")))
     known = x.join(spread.select("key", F.lit(True).alias("few")), "key", "left")
     header = F.col("key").isNotNull() & (F.col("returns") | F.coalesce("few", F.lit(False)) & (F.col("by_number") | (F.col("sure") & ~F.col("alone"))))
     number = F.col("number").isNotNull() & (
-        F.col("sure") | (fits | F.col("page").isNull() | (F.col("support") < 2)) & (F.col("by_header") | F.col("alone") & F.col("marked")) & F.col("alone")
+        F.col("sure") | (fits | F.col("page").isNull() | (F.col("support") < 2)) & alike & F.col("alone") & (F.col("by_header") | F.col("marked"))
         | (~F.col("alone") & F.col("returns") & (fits | F.col("page").isNull()))
     ) & (F.col("alone") | F.col("key").isNotNull())
     return known.select("chunk_id", "field", "line_no", header.alias("header"), F.coalesce(number, F.lit(False)).alias("page_number")).where("header or page_number")
