@@ -43,7 +43,7 @@ SYMBOL_CONFUSIONS = (
 LETTER_CONFUSIONS = (
     ("c", "e"), ("e", "c"), ("b", "h"), ("h", "b"), ("t", "f"), ("f", "t"), ("l", "i"), ("i", "l"), ("i", "r"), ("r", "i"), ("u", "n"), ("n", "u"),
     ("o", "c"), ("o", "e"), ("e", "o"), ("a", "o"), ("o", "a"), ("i", "t"), ("l", "t"), ("t", "l"), ("i", "j"), ("j", "i"), ("v", "y"), ("y", "v"),
-    ("q", "g"), ("g", "q"), ("s", "a"), ("f", "s"), ("rn", "m"), ("m", "rn"), ("ri", "n"), ("n", "ri"), ("cl", "d"), ("d", "cl"), ("ii", "u"),
+    ("q", "g"), ("g", "q"), ("s", "a"), ("f", "s"), ("rn", "m"), ("m", "rn"), ("ri", "n"), ("n", "ri"), ("cl", "d"), ("c1", "d"), ("d", "cl"), ("ii", "u"),
     ("u", "ii"), ("vv", "w"), ("w", "vv"), ("m", "in"), ("in", "m"), ("m", "ni"), ("m", "nn"), ("li", "h"), ("h", "li"), ("ii", "n"), ("n", "ii"),
     ("tt", "u"), ("lc", "k"), ("ni", "m"), ("nn", "m"), ("il", "u"), ("ti", "n"), ("j", "y"),
 )
