@@ -1,4 +1,553 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the test tables and the SQL that gives the same rows.
+
+SQL twins stand beside the queries whose semantics DuckDB can express; regular
+expressions with lookaround or backreferences and iterative algorithms have
+none and are tested against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import numbers as N, text as T
+from ..operators import answers, chunks, corpus, encoding, metrics, packing, qa, retrieval
+from ..operators.ordering import first_wins
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+RAW, DOCS, PAGES = "open_india_law_legislation", "documents", "indian_contract_act_1872_chunks"
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL twins of the string functions
+_WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NWS = _WS.replace("[", "[^", 1)
+
+
+def _collapse(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{_WS}+', ' ', 'g'), ' ')"
+
+
+def _clean(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(replace(coalesce({c}, ''), chr(173), ''), '{_WS}+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'), ' ')"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _words(c: str) -> str:
+    return f"coalesce(len(regexp_extract_all({c}, '{_NWS}+')), 0)"
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+def _tokens(c: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({c}), '[a-z][a-z0-9-]*'), lambda x: x NOT IN ({_STOP}))"
+
+
+def _terms(c: str) -> str:
+    t = _tokens(c)
+    return f"list_concat({t}, list_transform(range(1, greatest(len({t}), 1)), lambda i: {t}[i] || ' ' || {t}[i + 1]))"
+
+
+# Corpus
+
+@query(f"SELECT doc_id, {_clean('text')} AS text FROM documents")
+def clean_text(spark, sf):
+    return _t(spark, sf, DOCS).select("doc_id", T.clean_corpus(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query(f"SELECT record_id, length({_clean('text')}) AS chars FROM {RAW} WHERE length({_clean('text')}) >= 200")
+def min_chars_filter(spark, sf):
+    return corpus.cleaned(_t(spark, sf, RAW)).where(F.length("text") >= corpus.MIN_CHARS).select("record_id", F.length("text").alias("chars"))
+
+
+@query(f"SELECT record_id, sha256({_clean('text')}) AS text_sha256 FROM {RAW}")
+def text_fingerprint(spark, sf):
+    return corpus.cleaned(_t(spark, sf, RAW)).select("record_id", "text_sha256")
+
+
+@query(f"""SELECT record_id, {_strip("coalesce(act_id, '')")} AS act_id, CASE WHEN {_strip("coalesce(nullif(state, ''), source_publisher, '')")} = '' THEN '' ELSE {_strip("coalesce(nullif(state, ''), source_publisher, '')")} END AS state,
+  {_strip("coalesce(text, '')")} AS text, 'v1' AS source_snapshot, 'corpus' AS source_dataset FROM {RAW}""")
+def normalized_rows(spark, sf):
+    return corpus.normalized(_t(spark, sf, RAW), F.col("source_publisher"), "v1", "corpus").select("record_id", "act_id", "state", "text", "source_snapshot", "source_dataset")
+
+
+@query(f"SELECT min(record_id) AS record_id FROM {RAW} WHERE coalesce(text, '') <> '' GROUP BY act_id, section_number, text")
+def raw_dedup_first_wins(spark, sf):
+    return corpus.raw_dedup(_t(spark, sf, RAW), "record_id").select("record_id")
+
+
+@query(f"SELECT min(doc_id) AS doc_id, {_clean('text')} AS text FROM documents WHERE length({_clean('text')}) >= 200 GROUP BY {_clean('text')}")
+def text_dedup_first_wins(spark, sf):
+    x = _t(spark, sf, DOCS).select("doc_id", T.clean_corpus(F.coalesce("text", F.lit(""))).alias("text")).where("length(text) >= 200")
+    return first_wins(x, ["text"], "doc_id")
+
+
+@query()
+def greedy_two_key_dedup(spark, sf):
+    return corpus.clean_outcomes(_t(spark, sf, RAW), "record_id").select("record_id", "status")
+
+
+@query()
+def clean_outcome_counts(spark, sf):
+    return corpus.outcome_counts(corpus.clean_outcomes(_t(spark, sf, RAW), "record_id"))
+
+
+@query(f"SELECT record_id, state FROM {RAW} WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY state ORDER BY record_id) <= 100")
+def jurisdiction_cap(spark, sf):
+    return corpus.capped(_t(spark, sf, RAW).where("text <> ''").select("record_id", "state"), "state", "record_id", 100)
+
+
+_RANKED = "SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id::VARCHAR), doc_id) AS r, count(*) OVER () AS n FROM documents"
+
+
+@query(f"""SELECT doc_id, CASE WHEN r <= floor(n * 0.9) THEN 'train' WHEN r <= floor(n * 0.9) + floor(n * 0.05) THEN 'validation' ELSE 'test' END AS split FROM ({_RANKED})""")
+def hash_split_90_5_5(spark, sf):
+    return corpus.hash_split(_t(spark, sf, DOCS).select("doc_id"), "doc_id")
+
+
+_STATS = f"""SELECT split, count(*) AS records, sum(coalesce(length(text), 0))::BIGINT AS characters, sum({_words('text')})::BIGINT AS words, min(coalesce(length(text), 0)) AS min_chars,
+  max(coalesce(length(text), 0)) AS max_chars, round(avg(coalesce(length(text), 0)), 2) AS avg_chars, round_even(sum({_words('text')}) * 1.33::DOUBLE, 0)::BIGINT AS estimated_tokens,
+  round(sum(coalesce(length(text), 0)) / 1e6, 2) AS size_mb, count(DISTINCT nullif(act_id, '')) AS unique_acts,
+  count(DISTINCT CASE WHEN coalesce(act_id, '') <> '' OR coalesce(section_number, '') <> '' THEN coalesce(act_id, '') || ':' || coalesce(section_number, '') END) AS unique_sections
+  FROM splits GROUP BY split"""
+
+
+@query(_STATS)
+def corpus_stats_by_split(spark, sf):
+    return corpus.corpus_stats(_t(spark, sf, "splits"))
+
+
+@query(f"SELECT sum(records)::BIGINT AS records, sum(characters)::BIGINT AS characters, sum(words)::BIGINT AS words, sum(estimated_tokens)::BIGINT AS estimated_tokens FROM ({_STATS})")
+def corpus_stats_total(spark, sf):
+    return corpus.stats_total(corpus.corpus_stats(_t(spark, sf, "splits")))
+
+
+_CLEANED = f"(SELECT doc_id, lang, {_clean('text')} AS text FROM documents)"
+
+
+@query(f"""SELECT coalesce(nullif(lang, ''), 'unknown') AS lang, count(*) AS records, sum(length(text))::BIGINT AS characters, sum({_words('text')})::BIGINT AS words
+  FROM (SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, text FROM {_CLEANED.replace("lang,", "coalesce(lang, '') AS lang,")} WHERE length(text) >= 200 GROUP BY text) GROUP BY 1""")
+def corpus_pipeline_stats(spark, sf):
+    x = _t(spark, sf, DOCS).select("doc_id", "lang", T.clean_corpus(F.coalesce("text", F.lit(""))).alias("text")).where(F.length("text") >= corpus.MIN_CHARS)
+    kept = first_wins(x.withColumn("sha", T.sha256(F.col("text"))), ["sha"], "doc_id")
+    return kept.groupBy(T.or_default(F.col("lang"), "unknown").alias("lang")).agg(
+        F.count("*").alias("records"), F.sum(F.length("text")).alias("characters"), F.sum(T.word_count(F.col("text"))).cast("long").alias("words"))
+
+
+@query(f"SELECT split, coalesce(nullif({_strip('state')}, ''), 'unknown') AS state, count(*) AS n FROM splits GROUP BY 1, 2")
+def jurisdiction_histogram(spark, sf):
+    return corpus.histogram(_t(spark, sf, "splits"), "split", "state")
+
+
+@query(f"SELECT coalesce(nullif({_strip('state')}, ''), 'unknown') AS key, count(*) AS n FROM splits GROUP BY 1")
+def merged_histogram(spark, sf):
+    return corpus.merged_maps(corpus.histogram_map(corpus.histogram(_t(spark, sf, "splits"), "split", "state"), "split", "state"))
+
+
+@query(f"SELECT lang, count(*) AS records, coalesce(sum({_words('text')}), 0)::BIGINT AS tokens, round(coalesce(sum({_words('text')}), 0) / greatest(count(*), 1), 2) AS avg_tokens FROM documents GROUP BY ROLLUP (lang)")
+def stats_rollup(spark, sf):
+    return packing.encoded_totals(_t(spark, sf, DOCS).select("lang", T.words(F.col("text")).alias("tokens")), "lang", "tokens")
+
+
+# Retrieval
+
+_QUERY_ROWS = (
+    (1, "What are the essentials of a valid contract?", ("10",)), (2, "What makes an agreement a contract?", ("10",)),
+    (3, "When are considerations and objects lawful?", ("23",)), (4, "Is an agreement without consideration valid?", ("25",)),
+    (5, "What is free consent?", ("13", "14")), (6, "fee for the schedule of fees before the close of the year", ("1", "2")), (7, "order in writing by the registrar", ("3",)), (8, "", ("1",)),
+)
+_QUERY_SQL = "(VALUES " + ", ".join(f"({i}, '{q}', {list(s)})" for i, q, s in _QUERY_ROWS) + ") AS qs(qid, query, expected_sections)"
+
+
+def _queries(spark):
+    return spark.createDataFrame([(i, q, list(s)) for i, q, s in _QUERY_ROWS], "qid int, query string, expected_sections array<string>")
+
+
+@query(f"SELECT doc_id, array_to_string({_tokens('coalesce(text, chr(32))')}, ' ') AS tokens FROM documents")
+def regex_tokens(spark, sf):
+    return _t(spark, sf, DOCS).select("doc_id", F.array_join(T.tokens(F.coalesce("text", F.lit(""))), " ").alias("tokens"))
+
+
+_DOC_TERMS = f"(SELECT doc_id, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents))"
+
+
+@query(f"SELECT term, count(*) AS n FROM {_DOC_TERMS} WHERE contains(term, ' ') GROUP BY term")
+def bigram_counts(spark, sf):
+    return _t(spark, sf, DOCS).select(F.explode(T.terms(F.col("text"))).alias("term")).where(F.contains("term", F.lit(" "))).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf FROM {_DOC_TERMS} GROUP BY ALL")
+def term_frequency(spark, sf):
+    return retrieval.term_counts(_t(spark, sf, DOCS), "doc_id", F.col("text")).select("doc_id", "term", "tf")
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(DISTINCT doc_id))) + 1, 6) AS idf FROM {_DOC_TERMS} GROUP BY term")
+def document_frequency_idf(spark, sf):
+    d = _t(spark, sf, DOCS)
+    return retrieval.idf(retrieval.term_counts(d, "doc_id", F.col("text")), "doc_id", d.count()).withColumn("idf", F.round("idf", 6))
+
+
+_POSTINGS = """tf AS (SELECT k, term, count(*) AS n FROM terms GROUP BY ALL), tot AS (SELECT k, sum(n) AS total FROM tf GROUP BY k),
+df AS (SELECT term, ln((1 + (SELECT n FROM docs)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+post AS (SELECT tf.k, tf.term, n / total * idf AS w FROM tf JOIN tot USING (k) JOIN df USING (term)),
+norms AS (SELECT k, sqrt(sum(w * w)) AS norm FROM post GROUP BY k)"""
+
+
+@query(f"WITH docs AS (SELECT count(*) AS n FROM documents), terms AS (SELECT doc_id AS k, term FROM {_DOC_TERMS}), {_POSTINGS} SELECT k AS doc_id, round(norm, 6) AS norm FROM norms")
+def tfidf_norms(spark, sf):
+    return retrieval.build_index(_t(spark, sf, DOCS), "doc_id", F.col("text")).norms.withColumn("norm", F.round("norm", 6))
+
+
+_CHUNK_TEXT = "coalesce(text, '') || ' ' || coalesce(section_title, '') || ' ' || coalesce(section_number, '')"
+_ONE = "(SELECT k, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM ({}))"
+_CONCEPTS = "(VALUES " + ", ".join(f"('{n}', {list(p)}, {list(t)}, {list(s)})" for n, p, t, s in retrieval.CONCEPTS) + ") AS cs(name, phrases, terms, sections)"
+_SEARCH = f"""WITH docs AS (SELECT count(*) AS n FROM {PAGES}), terms AS (SELECT * FROM {_ONE.format(f"SELECT chunk_id AS k, {_tokens(_CHUNK_TEXT)} AS t FROM {PAGES}")}), {_POSTINGS},
+qs AS (SELECT * FROM {_QUERY_SQL}), qn AS (SELECT qid, {_collapse('lower(query)')} AS q FROM qs), cs AS (SELECT * FROM {_CONCEPTS}),
+det AS (SELECT qid, cs.* FROM qn, cs WHERE len(list_filter(phrases, lambda p: contains(q, p))) > 0),
+qt AS (SELECT k AS qid, term FROM {_ONE.format(f"SELECT qid AS k, {_tokens('query')} AS t FROM qs")} UNION ALL SELECT qid, unnest(terms) FROM det),
+qtot AS (SELECT qid, count(*) AS total FROM qt GROUP BY qid),
+qw AS (SELECT qid, term, count(*) / any_value(total) * any_value(idf) AS w FROM qt JOIN qtot USING (qid) JOIN df USING (term) GROUP BY qid, term),
+qnorm AS (SELECT qid, sqrt(sum(w * w)) AS norm FROM qw GROUP BY qid),
+base AS (SELECT qid, k, sum(qw.w * post.w) / any_value(qnorm.norm) / any_value(norms.norm) AS base FROM qw JOIN post USING (term) JOIN qnorm USING (qid) JOIN norms USING (k) GROUP BY qid, k),
+c AS (SELECT chunk_id AS k, lower(coalesce(text, '')) AS x, lower(coalesce(section_title, '')) AS y, coalesce(section_number, '') AS s FROM {PAGES}),
+cb AS (SELECT qid, k, sum(CASE WHEN list_contains(sections, s) THEN 0.60::DOUBLE ELSE 0 END + least(len(list_filter(terms, lambda p: contains(x, p) OR contains(y, p))) * 0.015::DOUBLE, 0.12::DOUBLE)
+  + least(len(list_filter(phrases, lambda p: contains(x, p) OR contains(y, p))) * 0.45::DOUBLE, 0.90::DOUBLE)
+  + CASE WHEN sections = ['25'] AND len(list_filter({list(retrieval.STATUTORY)}, lambda p: contains(x, p) OR contains(y, p))) > 0 THEN 1.50::DOUBLE ELSE 0 END) AS b,
+  max(CASE WHEN sections = ['13', '14'] AND s = '13' THEN 0.20::DOUBLE WHEN sections = ['13', '14'] AND s = '14' THEN 0.30::DOUBLE ELSE 0 END) AS late FROM det, c GROUP BY qid, k),
+tb AS (SELECT qid, k, CASE WHEN contains(x, q) THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN contains(y, q) THEN 0.25::DOUBLE ELSE 0 END AS b FROM qn, c WHERE q <> '' AND (contains(x, q) OR contains(y, q))),
+al AS (SELECT qid, k, base AS v, 0::DOUBLE AS late FROM base UNION ALL SELECT qid, k, b, late FROM cb UNION ALL SELECT qid, k, b, 0 FROM tb),
+sc AS (SELECT qid, k AS chunk_id, round(sum(v) + max(late), 9) AS score FROM al GROUP BY qid, k HAVING sum(v) > 0),
+hits AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 5)
+"""
+
+
+def _hits(spark, sf):
+    pages = _t(spark, sf, PAGES)
+    return retrieval.search(_queries(spark), pages), pages
+
+
+@query(f"{_SEARCH} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM hits")
+def boosted_search(spark, sf):
+    return _hits(spark, sf)[0].withColumn("score", F.round("score", 6))
+
+
+@query(f"""{_SEARCH}, got AS (SELECT qid, list(coalesce(section_number, 'None') ORDER BY rank) AS got FROM hits JOIN {PAGES} USING (chunk_id) GROUP BY qid)
+SELECT count(*) AS cases, {', '.join(f"round(avg(CASE WHEN list_has_any(coalesce(got, [])[1:{k}], expected_sections) THEN 1 ELSE 0 END), 6) AS hit_{k}" for k in (1, 3, 5))} FROM qs LEFT JOIN got USING (qid)""")
+def hit_at_k(spark, sf):
+    hits, pages = _hits(spark, sf)
+    return retrieval.hit_rates(hits, _queries(spark), pages)
+
+
+def _full_hits(spark, sf):
+    hits, pages = _hits(spark, sf)
+    return hits.join(pages.select("chunk_id", "section_number", "section_title", "page_number", "text"), "chunk_id")
+
+
+@query(f"""{_SEARCH}, h AS (SELECT hits.*, coalesce(nullif(section_number, ''), 'N/A') AS section FROM hits JOIN {PAGES} USING (chunk_id)
+  WHERE {_collapse("lower(coalesce(section_title, ''))")} NOT IN {answers.INDEX_TITLES}),
+b AS (SELECT qid, section, arg_min(chunk_id, rank) AS chunk_id, max(score) AS score, min(rank) AS first FROM h GROUP BY qid, section)
+SELECT qid, section, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS place FROM b""")
+def best_chunk_per_section(spark, sf):
+    return answers.best_per_section(_full_hits(spark, sf)).select("qid", "section", "chunk_id", F.round("score", 6).alias("score"), "place")
+
+
+@query()
+def grounded_answers(spark, sf):
+    return answers.grounded(_queries(spark), _full_hits(spark, sf)).withColumn("sources", F.to_json("sources"))
+
+
+@query(f"""{_SEARCH}, b AS (SELECT qid, string_agg(chr(10) || '[Source ' || rank || ']' || chr(10) || 'Section: ' || coalesce(nullif(section_number, ''), 'N/A') || chr(10) || 'Title: ' || coalesce(nullif(section_title, ''), 'Untitled section')
+  || chr(10) || 'Page: ' || coalesce(nullif(page_number, 0)::BIGINT::VARCHAR, 'N/A') || chr(10) || 'Text: ' || {_collapse("coalesce(text, '')")}, chr(10) ORDER BY rank) AS body
+  FROM hits JOIN {PAGES} USING (chunk_id) WHERE rank <= 3 GROUP BY qid)
+SELECT qid, 'LEGAL QUESTION' || chr(10) || query || chr(10) || chr(10) || 'RETRIEVED LEGAL CONTEXT' || chr(10) || coalesce(body, chr(10) || '{answers.NO_CONTEXT}') || chr(10) || chr(10) || '{(chr(10)).join(answers.INSTRUCTION)}' AS context
+FROM qs LEFT JOIN b USING (qid)""")
+def context_blocks(spark, sf):
+    return answers.context(_queries(spark), _full_hits(spark, sf))
+
+
+@query(f"""SELECT qa_id, name FROM qa_v1, {_CONCEPTS} WHERE len(list_filter(phrases, lambda p: contains({_collapse('lower(question)')}, p))) > 0
+UNION ALL SELECT qid, name FROM {_QUERY_SQL}, {_CONCEPTS} WHERE len(list_filter(phrases, lambda p: contains({_collapse('lower(query)')}, p))) > 0""")
+def detected_concepts(spark, sf):
+    q = _t(spark, sf, "qa_v1").select("qa_id", F.col("question").alias("query")).unionAll(_queries(spark).select(F.col("qid").cast("long"), "query"))
+    return retrieval.detected(q, retrieval.concept_table(spark)).select("qa_id", "name")
+
+
+@query("""WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE qid <> vec_id)
+SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
+def dense_cosine_topk(spark, sf):
+    v = _t(spark, sf, "embeddings")
+    return retrieval.dense_topk(v.where("vec_id % 50 = 0"), v, "vec_id", "embedding")
+
+
+# Chunks
+
+@query(f"""SELECT doc_id, w AS window_no, {_strip('substr(text, w * 1050 + 1, 1200)')} AS chunk, length({_strip('substr(text, w * 1050 + 1, 1200)')}) AS character_count
+FROM (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 1200) / 1050))::INT + 1)) AS w FROM documents WHERE length(text) > 0) WHERE {_strip('substr(text, w * 1050 + 1, 1200)')} <> ''""")
+def fixed_windows(spark, sf):
+    return chunks.windows(_t(spark, sf, DOCS), ["doc_id"], "text")
+
+
+@query()
+def section_headings(spark, sf):
+    return chunks.headings(_t(spark, sf, PAGES), ["chunk_id"], "text")
+
+
+@query()
+def chunked_pages(spark, sf):
+    return chunks.chunk_pages(_t(spark, sf, PAGES).select("source_file", "page_number", "text"))
+
+
+@query(f"SELECT chunk_id, last_value(section_number IGNORE NULLS) OVER (PARTITION BY source_file ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS carried FROM {PAGES}")
+def section_carry_forward(spark, sf):
+    return chunks.carried(_t(spark, sf, PAGES), "section_number", ["chunk_id"], ["source_file"], "carried").select("chunk_id", "carried")
+
+
+@query(f"SELECT count(*) AS pages, count_if({_strip('text')} <> '') AS with_text, sum(length({_strip('text')}))::BIGINT AS characters FROM {PAGES}")
+def page_totals(spark, sf):
+    return chunks.page_totals(_t(spark, sf, PAGES))
+
+
+# Question answering
+
+_EXAMPLES = f"""(SELECT row_id, split, unnest(CASE WHEN lower(ttl) IN ('this provision', 'untitled section') THEN [0] ELSE [0, 1] END) AS variant, act, sec, ttl, body,
+  act || ':' || sec || ':' || sha AS source_id FROM (SELECT row_id, split, {_collapse("coalesce(act_id, '')")} AS act, coalesce(nullif({_collapse("coalesce(section_number, '')")}, ''), 'N/A') AS sec,
+  coalesce(nullif({_collapse("coalesce(section_title, '')")}, ''), 'this provision') AS ttl, {_collapse("coalesce(text, '')")} AS body, coalesce(text_sha256, '') AS sha FROM splits) WHERE body <> '')"""
+_QUESTION = "CASE variant WHEN 0 THEN 'What does Section ' || sec || ' provide?' ELSE 'What is the legal provision regarding ' || ttl || '?' END"
+_TYPE = "CASE variant WHEN 0 THEN 'section_provision' ELSE 'title_provision' END"
+
+
+def _examples(spark, sf):
+    return qa.provision_examples(_t(spark, sf, "splits"), ["row_id", "split"])
+
+
+@query(f"""SELECT row_id, variant, {_QUESTION} AS question, 'Act: ' || act || chr(10) || 'Section: ' || sec || chr(10) || 'Title: ' || ttl || chr(10) || 'Provision: ' || body AS context, body AS answer, sec AS section, act AS act_id, source_id,
+  {_TYPE} AS question_type FROM {_EXAMPLES}""")
+def qa_templates(spark, sf):
+    return _examples(spark, sf).drop("split")
+
+
+_DEDUP = f"""(SELECT * FROM (SELECT *, {_QUESTION} AS question, {_TYPE} AS question_type, CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END AS so FROM {_EXAMPLES})
+QUALIFY row_number() OVER (PARTITION BY source_id, question_type, question ORDER BY so, row_id, variant) = 1)"""
+
+
+@query(f"SELECT row_id, variant, sha256(source_id || '|' || question_type || '|' || question) AS stable_key FROM {_DEDUP}")
+def qa_stable_dedup(spark, sf):
+    return qa.stable_dedup(_examples(spark, sf), ["row_id", "variant"]).select("row_id", "variant", "stable_key")
+
+
+_ATTACHED = f"""(SELECT d.* EXCLUDE (split), s.split FROM {_DEDUP} d JOIN (SELECT coalesce(act_id, '') || ':' || coalesce(section_number, '') || ':' || coalesce(text_sha256, '') AS source_id,
+  arg_max(split, CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END) AS split FROM splits GROUP BY 1) s USING (source_id))"""
+
+
+def _attached(spark, sf):
+    return qa.attached(qa.stable_dedup(_examples(spark, sf), ["row_id", "variant"]), _t(spark, sf, "splits"))
+
+
+@query(f"SELECT row_id, variant, source_id, split FROM {_ATTACHED}")
+def qa_split_attachment(spark, sf):
+    return _attached(spark, sf).select("row_id", "variant", "source_id", "split")
+
+
+@query(f"""WITH a AS (SELECT row_id, variant, split FROM {_ATTACHED}), c AS (SELECT count(*) AS t, count_if(split = 'train') AS n1, count_if(split = 'validation') AS n2, count_if(split = 'test') AS n3 FROM a),
+r AS (SELECT *, least(n1, round_even(1000 * n1 / t, 0), 1000) AS t1 FROM c), r2 AS (SELECT *, least(n2, round_even(1000 * n2 / t, 0), 1000 - t1) AS t2 FROM r),
+r3 AS (SELECT *, least(n3, round_even(1000 * n3 / t, 0), 1000 - t1 - t2) AS t3 FROM r2), l AS (SELECT *, 1000 - t1 - t2 - t3 AS f FROM r3),
+k AS (SELECT t, t1 + least(f, n1 - t1) AS k1, t2 + least(f - least(f, n1 - t1), n2 - t2) AS k2, t3 + least(f - least(f, n1 - t1) - least(f - least(f, n1 - t1), n2 - t2), n3 - t3) AS k3 FROM l)
+SELECT row_id, variant, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY row_id, variant) AS n FROM a), k
+WHERE t <= 1000 OR n <= CASE split WHEN 'train' THEN k1 WHEN 'validation' THEN k2 ELSE k3 END""")
+def qa_proportional_cap(spark, sf):
+    # as many as the least scale has many times over, so that the cap applies at every scale
+    return qa.proportional_cap(_attached(spark, sf).select("row_id", "variant", "split"), ["row_id", "variant"], 1000)
+
+
+@query("SELECT source_id, count(DISTINCT split) AS splits FROM splits WHERE source_id IS NOT NULL GROUP BY source_id HAVING count(DISTINCT split) > 1")
+def split_leakage(spark, sf):
+    return qa.leaks(_t(spark, sf, "splits"))
+
+
+@query(f"""WITH q AS (SELECT *, split FROM qa_v1 JOIN (SELECT source_id, min(split) AS split FROM splits GROUP BY 1) USING (source_id))
+SELECT 'blank_fields' AS check, count_if({' OR '.join(f"coalesce({_strip(c)}, '') = ''" for c in ("question", "context", "answer", "section", "act_id", "source_id", "question_type"))}) AS n FROM q
+UNION ALL SELECT 'repeated_question', (SELECT count(*) FROM (SELECT 1 FROM q GROUP BY source_id, question HAVING count(*) > 1))
+UNION ALL SELECT 'source_in_two_splits', (SELECT count(*) FROM (SELECT 1 FROM q GROUP BY source_id HAVING count(DISTINCT split) > 1))""")
+def qa_violations(spark, sf):
+    of = _t(spark, sf, "splits").where("source_id is not null").groupBy("source_id").agg(F.min("split").alias("split"))
+    return qa.violations(_t(spark, sf, "qa_v1").join(of, "source_id"))
+
+
+@query()
+def sentence_split(spark, sf):
+    return _t(spark, sf, "splits").select("row_id", F.posexplode(T.clauses(F.col("text"))).alias("part_no", "part"))
+
+
+@query()
+def ocr_corruption_flags(spark, sf):
+    return _t(spark, sf, "splits").select("row_id", T.ocr_corrupt(F.col("text")).alias("corrupt"))
+
+
+def _marked(spark, sf):
+    x = _t(spark, sf, "qa_v1").where("answer is not null and section is not null")
+    return x.withColumn("answer", F.concat(F.lit("Section "), "section", F.lit(": "), "answer"))
+
+
+@query()
+def section_answers(spark, sf):
+    return qa.section_answers(_marked(spark, sf)).select("qa_id", "body", "cleanup")
+
+
+@query()
+def section_answer_status(spark, sf):
+    return qa.status_counts(qa.section_answers(_marked(spark, sf)))
+
+
+@query(f"""SELECT qa_id, 'Act: ' || coalesce(nullif({_strip("regexp_extract(coalesce(context, ''), '(?m)^Title:[ ]*([^ \n][^\n]*)$', 1)")}, ''), act_id, 'Unknown Act') || '. Section: ' || {_strip("coalesce(section, 'Unknown')")} || '. Question: ' || {_collapse("coalesce(question, '')")} AS question FROM qa_v1""")
+def qa_v2_questions(spark, sf):
+    return _t(spark, sf, "qa_v1").select("qa_id", qa.v2_question(None).alias("question"))
+
+
+@query(f"SELECT qa_id, CASE question_type WHEN 'section_provision' THEN question || ' Give the relevant provision text.' ELSE question END AS question, length('CONTEXT:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'QUESTION:' || chr(10) || coalesce(question, '') || chr(10) || chr(10) || 'ANSWER:' || chr(10) || coalesce(answer, '')) AS prompt_chars FROM qa_v1")
+def qa_prompts(spark, sf):
+    return _t(spark, sf, "qa_v1").select(
+        "qa_id", qa.chunked_question(F.col("question"), F.col("question_type")).alias("question"), F.length(qa.combined_prompt(F.col("context"), F.col("question"), F.col("answer"))).alias("prompt_chars"))
+
+
+_LEN = f"(SELECT {_words('text')} AS v FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH s AS (SELECT list(v ORDER BY v) AS a, count(*) AS n, round(avg(v), 2) AS m FROM {_LEN})
+SELECT n AS count, a[1] AS min, a[n] AS max, m AS mean, {', '.join(f"a[round_even((n - 1) * {p}::DOUBLE, 0)::INT + 1] AS {k}" for k, p in (("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)))} FROM s""")
+def token_length_percentiles(spark, sf):
+    return qa.length_summary(_t(spark, sf, DOCS).where("text is not null").select(T.word_count(F.col("text")).alias("v")), "v")
+
+
+@query(f"SELECT count(*) AS records, count_if(v > 256) AS over_limit, round(100 * count_if(v > 256) / count(*), 2) AS over_percent, count_if(v >= 230) AS near_limit, round(100 * count_if(v >= 230) / count(*), 2) AS near_percent FROM {_LEN}")
+def over_limit_share(spark, sf):
+    return qa.limit_shares(_t(spark, sf, DOCS).where("text is not null").select(T.word_count(F.col("text")).alias("v")), "v")
+
+
+@query("SELECT coalesce(nullif(source, ''), 'unknown') AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, min(doc_id) LIMIT 10")
+def top_keys_most_common(spark, sf):
+    return qa.most_common(_t(spark, sf, DOCS), "source", "doc_id")
+
+
+@query()
+def bpe_encode_lengths(spark, sf):
+    encode = qa.encoder_udf(encoding.sentencepiece_encoder())
+    return _t(spark, sf, DOCS).select("doc_id", F.size(encode(F.coalesce("text", F.lit("")))).alias("tokens"))
+
+
+@query()
+def qa_prepared_sequences(spark, sf):
+    encode = qa.encoder_udf(encoding.sentencepiece_encoder())
+    x = _t(spark, sf, "qa_v1").select("qa_id", encode(F.concat(F.lit("QUESTION:\n"), F.coalesce("question", F.lit("")), F.lit("\n\nANSWER:\n"))).alias("p"),
+                                      encode(F.coalesce("context", F.lit(""))).alias("c"), encode(F.coalesce("answer", F.lit(""))).alias("a"))
+    return qa.prepared(x, "p", "c", "a").select("qa_id", "input_ids", "labels", "attention_mask", "original_context_tokens", "original_answer_tokens", "prepared_context_tokens", "prepared_sequence_tokens", "answer_tokens_used")
+
+
+@query()
+def qa_answer_chunks(spark, sf):
+    return qa.answer_chunks(_t(spark, sf, "qa_v1").select("qa_id", "answer"), ["qa_id"], "answer", encoding.sentencepiece_encoder())
+
+
+@query()
+def qa_v2_sequences(spark, sf):
+    x = qa.section_answers(_marked(spark, sf)).where(F.col("cleanup") == qa.EXTRACTED).withColumn("q", qa.v2_question(None))
+    # the public model's unknown id is 0
+    got = qa.v2_sequences(x.select("qa_id", "q", "body"), ["qa_id"], "q", "body", encoding.sentencepiece_codec(), unk=0)
+    return got.select("qa_id", "prompt_template", F.size("prompt_ids").alias("prompt_length"), N.sequence(F.col("prompt_ids"), F.col("answer_ids")).alias("input_ids"),
+                      N.labels_shifted(F.col("prompt_ids"), F.col("answer_ids")).alias("labels"), "answer_truncation")
+
+
+_LABELS = f"(SELECT qa_id, list_transform(coalesce(regexp_extract_all(question, '{_NWS}+'), []), lambda w: length(w)::INT) AS p, list_transform(coalesce(regexp_extract_all(answer, '{_NWS}+'), []), lambda w: length(w)::INT) AS a FROM qa_v1)"
+
+
+def _parts(spark, sf):
+    # stand-in ids: the lengths of words
+    return _t(spark, sf, "qa_v1").select("qa_id", F.transform(T.words(F.col("question")), F.length).alias("p"), F.transform(T.words(F.col("answer")), F.length).alias("a"))
+
+
+@query(f"SELECT qa_id, array_to_string(list_concat(list_transform(p, lambda x: -100), a, [3]), ',') AS labels FROM {_LABELS}")
+def label_masks_v1(spark, sf):
+    return _parts(spark, sf).select("qa_id", F.array_join(N.labels_aligned(F.col("p"), F.col("a")).cast("array<string>"), ",").alias("labels"))
+
+
+@query(f"SELECT qa_id, array_to_string(list_concat(list_transform(p[2:], lambda x: -100), a, [3, -100]), ',') AS labels FROM {_LABELS}")
+def label_masks_v2(spark, sf):
+    return _parts(spark, sf).select("qa_id", F.array_join(N.labels_shifted(F.col("p"), F.col("a")).cast("array<string>"), ",").alias("labels"))
+
+
+@query(f"""WITH s AS (SELECT qa_id, list_concat(p, a, [3]) AS ids, (row_number() OVER (ORDER BY qa_id) - 1) // 8 AS batch_no FROM {_LABELS}), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_no) AS w FROM s)
+SELECT qa_id, batch_no, array_to_string(list_resize(ids, w, 0), ',') AS input_ids, w AS width FROM w""")
+def padded_batches(spark, sf):
+    x = _parts(spark, sf).select("qa_id", N.sequence(F.col("p"), F.col("a")).alias("input_ids"), N.labels_aligned(F.col("p"), F.col("a")).alias("labels"))
+    return packing.padded_batches(x, ["qa_id"], 8).select("qa_id", "batch_no", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"), F.size("attention_mask").alias("width"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_concat(coalesce(regexp_extract_all(text, '{_NWS}+'), []), ['</s>'])) AS w, generate_subscripts(list_concat(coalesce(regexp_extract_all(text, '{_NWS}+'), []), ['</s>']), 1) AS i FROM documents),
+g AS (SELECT w, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM t),
+b AS (SELECT pos // 256 AS block_no, pos, w FROM g UNION ALL SELECT pos // 256 - 1, pos, w FROM g WHERE pos % 256 = 0 AND pos > 0),
+x AS (SELECT block_no, list(w ORDER BY pos) AS a FROM b GROUP BY block_no HAVING count(*) = 257)
+SELECT block_no, array_to_string(a[1:256], ' ') AS input_ids, array_to_string(a[2:257], ' ') AS targets FROM x""")
+def packed_blocks(spark, sf):
+    x = packing.packed(_t(spark, sf, DOCS).select("doc_id", T.words(F.col("text")).alias("tokens")), ["doc_id"], "tokens", 256, "</s>")
+    return x.select("block_no", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("targets", " ").alias("targets"))
+
+
+# Metrics
+
+@query("SELECT event_type, count(value) AS batches, round(avg(value / 10), 6) AS mean_loss, round(exp(least(avg(value / 10), 20)), 4) AS perplexity FROM events GROUP BY event_type")
+def loss_to_perplexity(spark, sf):
+    return metrics.mean_losses(_t(spark, sf, "events").withColumn("loss", F.col("value") / 10), ["event_type"])
+
+
+@query("SELECT event_type, arg_min(event_id, struct_pack(v := value, e := event_id)) AS event_id, min(value) AS value FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def best_epoch(spark, sf):
+    return metrics.best_step(_t(spark, sf, "events"), ["event_type"], "event_id", "value")
+
+
+@query("""SELECT event_id, user_id, value, least(value, min(value) OVER w) AS best_loss, coalesce(value < min(value) OVER w, value IS NOT NULL) AS improved
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def running_best(spark, sf):
+    return metrics.running_best(_t(spark, sf, "events").select("event_id", "user_id", "value"), ["user_id"], "event_id", "value")
+
+
+@query("""SELECT event_id, user_id, value, n, running_loss FROM (SELECT event_id, user_id, value, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id) AS o,
+  round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS running_loss FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n = 1 OR n % 100 = 0 OR n = o""")
+def progress_rows(spark, sf):
+    return metrics.running_mean(_t(spark, sf, "events").select("event_id", "user_id", "value"), ["user_id"], "event_id", "value")
+
+
+@query("SELECT name, regexp_extract(name, 'resume_step_([0-9]+)[.]pt$', 1)::BIGINT AS step FROM (SELECT CASE WHEN event_id % 7 = 0 THEN 'best.pt' ELSE 'resume_step_' || event_id || '.pt' END AS name FROM events) WHERE name LIKE 'resume%' ORDER BY step DESC LIMIT 5")
+def checkpoint_retention(spark, sf):
+    names = _t(spark, sf, "events").select(F.when(F.col("event_id") % 7 == 0, "best.pt").otherwise(F.concat(F.lit("resume_step_"), F.col("event_id").cast("string"), F.lit(".pt"))).alias("name"))
+    return metrics.newest_checkpoints(names)
+
+
+@query("SELECT i AS step, round(0.0001 * (1 + cos(pi() * i / 75)) / 2, 10) AS learning_rate FROM range(75) AS r(i)")
+def learning_rate_schedule(spark, sf):
+    return metrics.schedule(spark, 100, 3, 1e-4).withColumn("learning_rate", F.round("learning_rate", 10))
+
+
+@query("""WITH l AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i <= 2 THEN x::DOUBLE / 0.8 / 1.2 ELSE x::DOUBLE / 0.8 END) AS x FROM embeddings), k AS (SELECT vec_id, x, list_reverse_sort(x)[8] AS t FROM l),
+e AS (SELECT vec_id, list_transform(x, lambda v: CASE WHEN v >= t THEN exp(v - list_max(x)) ELSE 0 END) AS e FROM k)
+SELECT vec_id, round(list_max(e) / list_sum(e), 6) AS top, len(list_filter(e, lambda v: v > 0)) AS kept FROM e""")
+def softmax_topk_filter(spark, sf):
+    x = metrics.generation_step(_t(spark, sf, "embeddings").withColumn("seen", F.array(F.lit(0), F.lit(1))), "embedding", "seen", 0.8, 1.2, 8)
+    return x.select("vec_id", F.round(F.array_max("probs"), 6).alias("top"), F.size(F.filter("probs", lambda p: p > 0)).alias("kept"))
