@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .numbers import let
+
 #: Characters that ``str.split`` and ``\s`` of Python's ``re`` take as white space.
 SPACES = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 
@@ -74,16 +76,13 @@ def words(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case ASCII tokens without stopwords."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z0-9-]*"), F.lit(0)), lambda x: ~F.array_contains(stop, x))
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z0-9-]*"), F.lit(0)), lambda x: ~x.isin(*STOPWORDS))
 
 
 def terms(c: Column) -> Column:
     """Tokens, then the pairs of neighbours among them."""
-    t = tokens(c)
-    pairs = F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(
-        F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    return F.concat(t, pairs)
+    pairs = lambda t: F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return let(tokens(c), lambda t: F.when(F.size(t) < 2, t).otherwise(F.concat(t, pairs(t))))
 
 
 def sha256(c: Column) -> Column:
