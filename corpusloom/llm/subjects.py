@@ -36,6 +36,8 @@ _TOKEN = re.compile(r"[^\s\d.,;:!?()|\[\]{}<>\"“”‘’/–—।॥_-]+|[.;
 _ENDS = frozenset(".;।॥!?\n")
 BUCKETS = 1 << 16
 GRAMS = (4, 5)
+#: Where a document's sentences show less of all areas together, shares are of this much; formal texts so get none.
+LEAST_TOPICAL = 0.25
 
 
 def word_features(word: str) -> list[int]:
@@ -248,10 +250,10 @@ class Scorer:
         total = np.zeros((len(texts), width))
         np.add.at(total, owner, prob)
         per = total / np.maximum(1, np.bincount(owner, minlength=len(texts)))[:, None]
-        return per / np.maximum(per.sum(1, keepdims=True), 0.05)
+        return per / np.maximum(per.sum(1, keepdims=True), LEAST_TOPICAL)
 
 
-def assign(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.26, **training) -> DataFrame:
+def assign(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.25, **training) -> DataFrame:
     """(key, subject, share) of every area of every document."""
     areas = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().collect())
     kind = docs.schema[key].dataType.simpleString()
