@@ -9,6 +9,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..session import written
 from .ordering import ranked
 
 SIZE, OVERLAP = 1200, 150
@@ -59,9 +60,22 @@ def sections(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def carried(df: DataFrame, value: str, order: list[str], within: list[str], out: str) -> DataFrame:
-    """Adds *out*: the last value that is not null, up to and with the row, in *order* within the groups."""
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    """Adds *out*: the last value that is not null, up to and with the row, in *order* within the groups.
+
+    Range partitions carry what the ones before them leave of a group (a row for
+    each group they touch), so a group may span any number of tasks.
+    """
+    x = written(df.repartitionByRange(*within, *order).withColumn("__part", F.spark_partition_id()), "carried")
+    # a struct, for a group of nulls must join with itself and a value may be null
+    left = x.groupBy("__part", *within).agg(F.max_by(F.struct(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__v"))
+    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.withColumn("__from", F.last("__v", ignorenulls=True).over(before)).select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__g_{c}") for c in within], "__from")
+    same = F.col("__part") == F.col("__p")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    own = Window.partitionBy("__part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    y = x.join(left, same).withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(own), F.col("__from").getField(value)))
+    return y.select(*df.columns, out)
 
 
 def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

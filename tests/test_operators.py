@@ -120,6 +120,15 @@ def test_chunk_pages(spark):
     assert [(r["chunk_id"], r["page_number"], r["section_number"]) for r in got] == [("contract_00001", 1, "1"), ("contract_00002", 2, "1"), ("contract_00003", 3, "1"), ("contract_00004", 3, "2")]
 
 
+def test_carried_over_partitions(spark):
+    rows = [(g, i, v) for g in ("a", None, "b") for i, v in enumerate([None, "x", None, None, "y", None] * 20)]
+    got = chunks.carried(spark.createDataFrame(rows, "g string, i int, v string").repartition(7), "v", ["i"], ["g"], "now").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k = r["i"] % 6
+        assert r["now"] == ("y" if k == 0 and r["i"] else None if r["i"] == 0 else "x" if k < 4 else "y")
+
+
 def test_search(spark):
     rows = [("c1", "10", "What agreements are contracts", "All agreements are contracts if made by free consent."), ("c2", "25", "Void", "An agreement without consideration is void."),
             ("c3", "13", "Consent", "Consent is agreeing."), ("c4", "14", "Free consent", "Consent is free when there is no fraud."), ("c5", None, None, None), ("c6", "99", "Other", "Nothing here at all.")]
