@@ -9,8 +9,8 @@ the driver; a shard bounds every window.
 
 Defined results: documents without tokens, with a null source or a source
 without a target are not used; a source that is too small is used
-``max_repeats`` times and the rest goes to the others; empty tables give empty
-results.
+``max_repeats`` times and the rest goes to the others; one without documents has
+a report of noughts and does not lower the total; an empty table gives no uses.
 """
 
 from __future__ import annotations
@@ -67,8 +67,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, ma
     listed = spark.createDataFrame([(s, *want[s]) for s in names], "source string, target_share double, max_repeats int")
     pool = docs.join(F.broadcast(listed), "source").where("tokens > 0").select("doc_id", "source", "tokens", "target_share", "max_repeats")
     size = {r[0]: int(r[1]) for r in pool.groupBy("source").agg(F.sum("tokens")).collect()}
-    weight = sum(w for w, _ in want.values()) or 1.0
-    total = total_tokens or largest_total([want[s][0] / weight for s in names], [float(want[s][1] * size.get(s, 0)) for s in names], max_shortfall)
+    present = [s for s in names if size.get(s)]  # a source without tokens falls short of any total
+    weight = sum(want[s][0] for s in present) or 1.0
+    total = total_tokens or largest_total([want[s][0] / weight for s in present], [float(want[s][1] * size[s]) for s in present], max_shortfall)
     block = max(1, total // blocks)
     seats = total // block
     quota = dict(zip(names, sainte_lague([want[s][0] for s in names], [want[s][1] * size.get(s, 0) // block for s in names], seats)))
@@ -95,6 +96,6 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, ma
     every = got.agg(F.sum("mixed_tokens").alias("every"))
     report = listed.join(got, "source", "left").crossJoin(F.broadcast(every)).select(
         "source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_docs", "pool_tokens", "used_docs", "mixed_tokens", "mean_uses", "most_uses")],
-        F.round(F.coalesce(F.col("mixed_tokens") / F.col("every"), F.lit(0.0)), 6).alias("actual_share"),
+        F.round(F.coalesce(F.col("mixed_tokens") / F.nullif(F.col("every"), F.lit(0)), F.lit(0.0)), 6).alias("actual_share"),
     )
     return uses, report

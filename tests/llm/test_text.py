@@ -144,4 +144,7 @@ def test_mix(spark):
     assert abs(got["big"]["mixed_tokens"] / got["mid"]["mixed_tokens"] - 0.5 / 0.45) < 0.05
     again = mixing.mix(d.repartition(7), t, total_tokens=80_000, blocks=2000, shard_tokens=20_000)[0]
     assert sorted(uses.collect()) == sorted(again.collect())
-    assert mixing.mix(d.limit(0), t)[0].count() == 0
+    none = mixing.mix(d.limit(0), t)
+    assert none[0].count() == 0 and [x["actual_share"] for x in none[1].collect()] == [0.0] * 4
+    whole = {x["source"]: x["actual_share"] for x in mixing.mix(d, t)[1].collect()}  # the absent source does not empty the mixture
+    assert abs(whole["big"] - 0.5) < 0.05 and 0.4 < whole["mid"] < 0.52  # up to the shortfall more
