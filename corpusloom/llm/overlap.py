@@ -1,19 +1,24 @@
 """Same or near-same records across splits.
 
 Two texts are near-same if at least ``share`` of the words of the longer stand
-in the other in the same order, letter case and punctuation aside. Evenly
-scattered edits leave few long shingles intact, so shingles are of three words
-here and the bands are chosen for a Jaccard similarity from 0.5 up (64 bands of
-5: found with 87 % at 0.5, 99.4 % at 0.6, 100 % at 0.7).
-
-1. One pass makes a digest of the words and the band keys of every row.
-2. Rows of equal words form a class; only representatives go on, so a hot group
+in the other in the same order, letter case and punctuation aside. The search
+is exact: words are numbered by their occurrence in the text, and of two texts
+that hold ``need`` of these elements in common, the first ``size - need + 1`` of
+each, in any order that is the same for all texts, have one in common.
+
+1. Counts of elements by hashed bucket, all of the evaluation rows and every
+   eighth of the training rows, give that order: elements come first that would
+   make the fewest pairs. An element of no evaluation row joins nothing.
+2. One pass makes a digest of the words, the elements to join on, and 512 bits
+   of parity over all elements of every row.
+3. Rows of equal words form a class; only representatives go on, so a hot group
    of copies costs one row.
-3. Train and evaluation representatives meet on band keys; pairs are kept once.
-4. Texts of candidates are joined; the exact Jaccard similarity must reach the
-   least that the share of words allows, then the words' longest common
-   subsequence decides.
-5. Class pairs are expanded by membership, train against evaluation rows.
+4. Train and evaluation representatives meet on elements; lengths and the number
+   of different bits rule out pairs in the join, the others are kept once.
+5. Texts of candidates are joined; the bag of words and the shingles that the
+   share leaves whole must agree, then the words' longest common subsequence
+   decides.
+6. Class pairs are expanded by membership, train against evaluation rows.
 
 Defined results: null and wordless texts pair with nothing, nor do rows of an
 unknown split; equal texts of both splits always pair; repeated rows pair each.
@@ -22,6 +27,7 @@ unknown split; equal texts of both splits always pair; repeated rows pair each.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
 
-BANDS, ROWS, SHINGLE = 64, 5, 3
+SHINGLE, BUCKETS, LANES, SAMPLED = 3, 1 << 18, 8, 8
 
 
 def norm_words(text: Column) -> Column:
@@ -38,17 +44,16 @@ def norm_words(text: Column) -> Column:
     return F.trim(F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", " "))))
 
 
-def _multipliers(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+def needed(longer: int, share: float) -> int:
+    """Words in common that the share asks of the longer text."""
+    return math.ceil(longer * share)
 
 
 class Signer:
-    """Band keys of texts: minima of hashed shingles, folded by band."""
+    """Elements of texts, (word, its how-manieth in the text) as a hash, and what is derived of them."""
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, keep: int = 300_000):
-        self.bands, self.rows, self.shingle, self.keep = bands, rows, shingle, keep
-        self.a, self.c = _multipliers(bands * rows)
+    def __init__(self, cost: np.ndarray | None = None, share: float = 0.8, keep: int = 300_000):
+        self.cost, self.share, self.keep = cost, share, keep
         self.word: dict[str, int] = {}
 
     def _hash(self, w: str) -> int:
@@ -59,32 +64,33 @@ class Signer:
             h = self.word[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
         return h
 
-    def keys(self, norms: list[str]) -> np.ndarray:
-        """[text, band] keys; every text has a word. Texts shorter than a shingle have that of what they hold."""
+    def elements(self, norms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(element, its text, words of each text); the elements of a text lie together. Every text has a word."""
         words = [n.split(" ") for n in norms]
         size = np.array([len(w) for w in words])
         h = np.fromiter((self._hash(w) for t in words for w in t), np.uint64, int(size.sum()))
-        # shingles that run past the end of a text are left out, but for its first
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        s = h * np.uint64(0x9E3779B97F4A7C15)
-        left = np.repeat(start + size, size) - np.arange(len(h))
-        for k in range(1, self.shingle):
-            nxt = np.roll(h, -k)
-            s = np.where(left > k, (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + nxt, s)
-        keep = left >= self.shingle
-        keep[start] = True
-        s = s[keep]
+        text = np.repeat(np.arange(len(norms)), size)
+        h = h[np.lexsort((h, text))]
+        at = np.arange(len(h))
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        nth = at - np.maximum.accumulate(np.where(fresh, at, 0))
+        s = h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         s = (s ^ (s >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        first = np.concatenate([[0], np.cumsum(np.maximum(1, size - self.shingle + 1))[:-1]])
-        out = np.empty((len(norms), self.bands), np.uint64)
-        for b in range(self.bands):
-            fold = np.full(len(norms), b, np.uint64)
-            for r in range(b * self.rows, (b + 1) * self.rows):
-                low = np.minimum.reduceat((s * self.a[r] + self.c[r]) >> np.uint64(16), first)
-                fold = (fold ^ low) * np.uint64(0xD6E8FEB86659FD93)
-                fold ^= fold >> np.uint64(31)
-            out[:, b] = fold
-        return out.view(np.int64)
+        return s ^ (s >> np.uint64(29)), text, size
+
+    def sign(self, norms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(elements to join on, number of them by text, words by text, [text, lane] parity bits)."""
+        e, text, size = self.elements(norms)
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        bit = e >> np.uint64(58 - (LANES - 1).bit_length())
+        one = np.uint64(1) << (bit & np.uint64(63))
+        lanes = np.stack([np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == lane, one, np.uint64(0)), start) for lane in range(LANES)], 1)
+        cost = self.cost[(e % np.uint64(BUCKETS)).astype(np.int64)]
+        order = np.lexsort((e, cost, text))
+        first = size - np.array([needed(int(n), self.share) for n in size]) + 1
+        kept = order[(np.arange(len(e)) - start[text] < first[text]) & (cost[order] > 0)]
+        return e[kept].view(np.int64), np.bincount(text[kept], minlength=len(norms)), size, lanes.view(np.int64)
 
 
 def common_in_order(a: list[str], b: list[str]) -> int:
@@ -113,13 +119,9 @@ def near_same(a: str, b: str, share: float = 0.8, shingle: int = SHINGLE) -> tup
     """(Jaccard similarity, share of words in order) of two word strings if near-same."""
     x, y = a.split(" "), b.split(" ")
     longer, shorter = max(len(x), len(y)), min(len(x), len(y))
-    need = -(-longer * share // 1)
+    need = needed(longer, share)
     if shorter < need:
         return None
-    # Of k-word shingles, a lost word breaks at most k of its own text's and k - 1 of the other's, where it stands between two kept words.
-    j, common, most = jaccard(x, y, shingle)
-    if common < most - (2 * shingle - 1) * (longer - need):
-        return None
     counts: dict[str, int] = {}
     for w in x:
         counts[w] = counts.get(w, 0) + 1
@@ -130,21 +132,37 @@ def near_same(a: str, b: str, share: float = 0.8, shingle: int = SHINGLE) -> tup
             bag += 1
     if bag < need:
         return None
+    # Of k-word shingles, a lost word breaks at most k of its own text's and k - 1 of the other's, where it stands between two kept words.
+    j, common, most = jaccard(x, y, shingle)
+    if common < most - (2 * shingle - 1) * (longer - need):
+        return None
     n = common_in_order(x, y)
     return (j, n / longer) if n >= need else None
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    signer = Signer()
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
-            norms = part.column(2).to_pylist()
-            keys = signer.keys(norms)
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(1), pa.array([hashlib.blake2b(n.encode("utf-8", "replace"), digest_size=16).digest() for n in norms], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(norms) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel())),
-            ], names=["row_id", "train", "digest", "keys"])
+            yield part, part.column(column).to_pylist()
+
+
+def element_costs(rows: DataFrame) -> np.ndarray:
+    """Pairs that joining on an element may make, by bucket; 0 only where no evaluation row holds one."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, n = Signer(), np.zeros(2 * BUCKETS, np.int64)
+        for part, norms in _parts(batches, 1):
+            e, text, _ = signer.elements(norms)
+            train = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            n += np.bincount((e % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS * train[text], minlength=2 * BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], names=["at", "n"])
+
+    some = rows.where(~F.col("train") | (F.pmod(F.xxhash64("row_id"), F.lit(SAMPLED)) == 0)).select("train", "t")
+    got = some.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(2 * BUCKETS)
+    n[got["at"].to_numpy()] = got["n"].to_numpy()
+    return (n[:BUCKETS] * (SAMPLED * n[BUCKETS:] + 1)).astype(np.float32)
 
 
 def overlaps(df: DataFrame, key: str = "row_id", split: str = "split", text: str = "text", train: tuple[str, ...] = ("train",),
@@ -153,7 +171,19 @@ def overlaps(df: DataFrame, key: str = "row_id", split: str = "split", text: str
     rows = df.select(F.col(key).cast("long").alias("row_id"), F.col(split).isin(*train).alias("train"), norm_words(F.col(text).cast("string")).alias("t")).where(
         F.col(split).isin(*train, *held) & F.col("row_id").isNotNull() & (F.length("t") > 0)
     )
-    signed = written(rows.mapInArrow(_sign, "row_id long, train boolean, digest binary, keys array<long>"), "p5-signed")
+    cost = rows.sparkSession.sparkContext.broadcast(element_costs(rows))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(cost.value, share)
+        for part, norms in _parts(batches, 2):
+            keys, n, size, lanes = signer.sign(norms)
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), part.column(1), pa.array([hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() for t in norms], pa.binary()), pa.array(size, pa.int32()),
+                *(pa.array(lanes[:, i]) for i in range(LANES)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(keys)),
+            ], names=["row_id", "train", "digest", "n", *bits, "keys"])
+
+    bits = [f"b{i}" for i in range(LANES)]
+    signed = written(rows.mapInArrow(sign, f"row_id long, train boolean, digest binary, n int, {', '.join(f'{c} long' for c in bits)}, keys array<long>"), "p5-signed")
     classes = signed.groupBy("digest").agg(F.min("row_id").alias("cls"), F.max("train").alias("has_train"), F.min("train").alias("only_train"))
     members = written(signed.select("row_id", "train", "digest").join(classes, "digest").select("row_id", "train", "cls", "has_train", "only_train"), "p5-members")
     # representatives only: rows of a class but its first are few, or the join shuffles by row
@@ -161,11 +191,14 @@ def overlaps(df: DataFrame, key: str = "row_id", split: str = "split", text: str
     flags = members.where("row_id = cls and has_train and not only_train").select("row_id", F.lit(True).alias("both"))
     keyed = signed.join(copies, "row_id", "left_anti").join(flags, "row_id", "left").select(
         F.col("row_id").alias("cls"), (F.col("train") | F.col("both").isNotNull()).alias("has_train"), (F.col("train") & F.col("both").isNull()).alias("only_train"),
-        F.explode("keys").alias("k"),
+        "n", *bits, F.explode("keys").alias("k"),
     )
-    trained = keyed.where("has_train").select("k", F.col("cls").alias("x"))
-    evaluated = keyed.where("not only_train").select("k", F.col("cls").alias("y"))
-    pairs = trained.join(evaluated, "k").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    of = lambda side: [F.col("cls").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *bits))]
+    trained, evaluated = keyed.where("has_train").select("k", *of("x")), keyed.where("not only_train").select("k", *of("y"))
+    need = F.ceil(F.greatest("x_n", "y_n") * F.lit(share))
+    apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in bits[1:]), F.bit_count(F.col(f"x_{bits[0]}").bitwiseXOR(F.col(f"y_{bits[0]}"))))
+    may = (F.least("x_n", "y_n") >= need) & (apart <= F.col("x_n") + F.col("y_n") - 2 * need)
+    pairs = trained.join(evaluated, (trained["k"] == evaluated["k"]) & (F.col("x") != F.col("y")) & may).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = written(pairs, "p5-candidates")
     wanted = pairs.select(F.col("x").alias("row_id")).union(pairs.select("y")).distinct()
     texts = written(rows.select("row_id", "t").join(wanted, "row_id", "left_semi").dropDuplicates(["row_id"]), "p5-texts")

@@ -112,6 +112,25 @@ def test_overlaps(spark):
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
+def test_overlaps_of_scattered_edits(spark):
+    # words replaced at random places down to the least share: every pair is found
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, want = [], set()
+    for share in (0.8, 0.85, 0.9):
+        for _ in range(12):
+            n = r.choice([40, 100, 200])
+            a = [r.choice(vocab) for _ in range(n)]
+            b = list(a)
+            for at in r.sample(range(n), round(n * (1 - share))):
+                b[at] = f"e{r.randrange(10**9)}"
+            want.add((len(rows), len(rows) + 1))
+            rows += [(len(rows), "train", " ".join(a)), (len(rows) + 1, "test", " ".join(b))]
+    rows += [(len(rows), "train", " ".join(f"v{i}" for i in range(100))), (len(rows) + 1, "validation", " ".join(f"v{i}" if i % 5 or i == 0 else "other" for i in range(98)))]
+    got = {(x["row_id_a"], x["row_id_b"]) for x in overlap.overlaps(spark.createDataFrame(rows, "row_id long, split string, text string")).collect()}
+    assert got == brute(rows) and want <= got and len(want) == 36
+
+
 def test_common_in_order():
     assert overlap.common_in_order("a b c d".split(), "b a c x d".split()) == 3
     assert overlap.near_same("a b c d e", "a b c d x") is not None and overlap.near_same("a b c d e", "a b c x y") is None
