@@ -5,8 +5,8 @@
    the printed page number if its distance to the page's own number is the
    file's usual one. Both are aggregations over (file, key), never a group of
    a file's text.
-2. Lexicon. Counts of the words of all chunks, but for those at line ends; the
-   ``lexicon_words`` most frequent are broadcast (the one bound).
+2. Lexicon. Counts of the words of all chunks, but for parts of words at line
+   ends; all seen twice or more are broadcast, so it grows with the vocabulary.
 3. Decoding. The lines of a field without their furniture are one stream of
    tokens; a Viterbi search weighs, by the lexicon, leaving a token, correcting
    it through known confusions, splitting it, and joining it to the next one
@@ -27,6 +27,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
@@ -388,24 +389,41 @@ def furniture(chunks: DataFrame, common: float = 0.02) -> DataFrame:
 
 # Lexicon
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        seen: dict[str, int] = {}
-        for col in b.columns:
-            for text in col.to_pylist():
-                for line in (text or "").split("\n"):
-                    for w in line.split()[1:-1]:
-                        f = core(w)
-                        if f and not f.isdigit():
-                            seen[f] = seen.get(f, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
-
-
-def lexicon(chunks: DataFrame, lexicon_words: int = 100_000) -> Lexicon:
-    """The most frequent words of all chunks."""
-    counts = chunks.select(*FIELDS).mapInArrow(_count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = counts.where("n >= 2").orderBy(F.desc("n"), "w").limit(lexicon_words).collect()
-    return Lexicon({r[0]: r[1] for r in top})
+#: Lines after a line end that may hold the rest of a word: furniture may stand between.
+_REST = 3
+
+
+def word_counts(texts: list[str | None], base: set[str] | frozenset[str] = frozenset()) -> dict[str, int]:
+    """Counts of forms. Left out are parts of words: what stands at a hyphen at a line end, and at any other line end what gives a word of *base* with the other side."""
+    seen: dict[str, int] = {}
+    for text in texts:
+        lines = [w for line in (text or "").split("\n") if (w := line.split())]
+        gone = set()
+        for i, words in enumerate(lines):
+            end = Token(words[-1], i, True)
+            for k in range(i + 1, min(len(lines), i + 1 + _REST)):
+                if end.cut == "hyphen" or end.form + core(lines[k][0]) in base:
+                    gone |= {(i, len(words) - 1), (k, 0)}
+        for i, words in enumerate(lines):
+            for k, w in enumerate(words):
+                f = core(w)
+                if f and not f.isdigit() and (i, k) not in gone:
+                    seen[f] = seen.get(f, 0) + 1
+    return seen
+
+
+def lexicon(chunks: DataFrame) -> Lexicon:
+    """The words of all chunks that are seen twice or more; a form seen once is no evidence of a word."""
+    def counted(base: Broadcast | None) -> dict[str, int]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                seen = word_counts([t for c in b.columns for t in c.to_pylist()], base.value if base else frozenset())
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+
+        got = chunks.select(*FIELDS).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 2").toArrow()
+        return dict(zip(got["w"].to_pylist(), got["n"].to_pylist()))
+
+    return Lexicon(counted(chunks.sparkSession.sparkContext.broadcast(frozenset(counted(None)))))
 
 
 def _plan(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -104,3 +104,15 @@ def test_own_hyphens_stay():
 def test_paragraphs():
     lines = list(enumerate(["The first part of a paragraph goes", "on to its end.", "", "Another paragraph begins here and", "it ends."], 1))
     assert [len(p) for p in scans.paragraphs(lines)] == [2, 2] and scans.paragraphs([]) == []
+
+
+def test_lexicon_counts_line_edges_and_has_no_cap(spark):
+    many = " ".join(f"form{i}x" for i in range(100_050))
+    lines = ["penalties are due to the registrar", "of this board and all its registrar", "penalties", "the board sends to the regis", "trar of this the com-", "HEAD", "mittee and the board", "of the fees are due"]
+    text = "\n".join(lines)
+    rows = [(f"c{k}", "f.pdf", None, None, None, t) for k, t in enumerate([text.replace("fees", "pena1ties"), text, text, f"a {many} b\na {many} b"])]
+    df = spark.createDataFrame(rows, "chunk_id string, source_file string, page_number int, section_number string, section_title string, text string")
+    counts = scans.lexicon(df).counts
+    assert counts["penalties"] == 6 and counts["registrar"] == 6 and not {"regis", "trar", "com", "mittee"} & set(counts)
+    assert sum(w.startswith("form") for w in counts) == 100_050
+    assert ("c0", "text", 8, "misread", "penalties") in {tuple(x) for x in scans.found(df.where("chunk_id <> 'c3'")).collect()}
