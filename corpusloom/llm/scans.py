@@ -26,6 +26,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -275,13 +276,13 @@ def paragraphs(lines: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
         gain[i] = -1.5 + 3.0 * blank + (1.0 if ended else -2.5) + (1.0 if ended and len(prev) < 0.75 * width else 0.0)
         gain[i] += (2.0 if _STARTS.match(line) and ended else 0.0) - (2.0 if line[0].islower() else 0.0)
         gain[i] += 2.0 if _STARTS.match(prev) and prev.isupper() else 0.0
-    reach = 60
-    best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    # costs of a paragraph of n, n - 1 ... 1 lines; every earlier line may start one
+    cost = np.array([0.15 * abs(math.log(k / 5)) for k in range(n, 0, -1)])
+    best, back = np.zeros(n + 1), [0] * (n + 1)
     for j in range(1, n + 1):
-        for i in range(max(0, j - reach), j):
-            v = best[i] + (gain[j] if j < n else 0.0) - 0.15 * abs(math.log((j - i) / 5))
-            if v > best[j]:
-                best[j], back[j] = v, i
+        v = best[:j] + (gain[j] if j < n else 0.0) - cost[n - j :]
+        back[j] = int(v.argmax())
+        best[j] = v[back[j]]
     out, at = [], n
     while at:
         out.append([(no, s) for no, s, _ in full[back[at] : at]])

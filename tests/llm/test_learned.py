@@ -116,3 +116,11 @@ def test_lexicon_counts_line_edges_and_has_no_cap(spark):
     assert counts["penalties"] == 6 and counts["registrar"] == 6 and not {"regis", "trar", "com", "mittee"} & set(counts)
     assert sum(w.startswith("form") for w in counts) == 100_050
     assert ("c0", "text", 8, "misread", "penalties") in {tuple(x) for x in scans.found(df.where("chunk_id <> 'c3'")).collect()}
+
+
+def test_long_paragraphs_are_not_cut():
+    lines = [(i, "words of a paragraph that goes on and on, with a regis-" if i % 2 else "ter of") for i in range(1, 200)]
+    assert [len(p) for p in scans.paragraphs(lines)] == [199]
+    text = scans.restore(lines, scans.Lexicon({w: 500 for w in "words of a paragraph that goes on and with register".split()}))
+    assert text.count("register of") == 99 and "\n\n" not in text
+    assert [len(p) for p in scans.paragraphs([*lines, (200, "ends."), (201, ""), (202, "Another one.")])] == [200, 1]
