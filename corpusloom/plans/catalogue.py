@@ -250,6 +250,13 @@ def boosted_search(spark, sf):
     return _hits(spark, sf)[0].withColumn("score", F.round("score", 6))
 
 
+@query(f"""{_SEARCH.replace(f"SELECT * FROM {_QUERY_SQL}", "SELECT qa_id AS qid, coalesce(question, '') AS query FROM qa_v1 WHERE qa_id % 50 = 0")} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM hits""")
+def boosted_search_questions(spark, sf):
+    # the questions grow with the data
+    asked = _t(spark, sf, "qa_v1").where("qa_id % 50 = 0").select(F.col("qa_id").alias("qid"), F.coalesce("question", F.lit("")).alias("query"))
+    return retrieval.search(asked, _t(spark, sf, PAGES)).withColumn("score", F.round("score", 6))
+
+
 @query(f"""{_SEARCH}, got AS (SELECT qid, list(coalesce(section_number, 'None') ORDER BY rank) AS got FROM hits JOIN {PAGES} USING (chunk_id) GROUP BY qid)
 SELECT count(*) AS cases, {', '.join(f"round(avg(CASE WHEN list_has_any(coalesce(got, [])[1:{k}], expected_sections) THEN 1 ELSE 0 END), 6) AS hit_{k}" for k in (1, 3, 5))} FROM qs LEFT JOIN got USING (qid)""")
 def hit_at_k(spark, sf):

@@ -20,3 +20,9 @@ def test_entry(spark, sf):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_search_asks_the_questions_of_the_data(spark, sf):
+    asked = {x[0] for x in spark.read.parquet(f"{sf}/qa_v1.parquet").where("qa_id % 50 = 0 and question rlike '[a-z]'").select("qa_id").collect()}
+    found = {x["qid"] for x in catalogue.QUERIES["boosted_search_questions"](spark, sf).collect()}
+    assert asked and found and found <= asked
