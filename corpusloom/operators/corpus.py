@@ -36,6 +36,10 @@ def raw_dedup(df: DataFrame, order: str) -> DataFrame:
     return first_wins(df.where(F.coalesce(F.col("text"), F.lit("")) != ""), ["act_id", "section_number", "text"], order)
 
 
+#: Rows that are taken of each jurisdiction.
+PER_JURISDICTION = 12_500
+
+
 def capped(df: DataFrame, group: str, order: str, cap: int) -> DataFrame:
     """The first *cap* rows of each group; only that many of a partition reach the shuffle."""
     n = Window.partitionBy(group).orderBy(order)

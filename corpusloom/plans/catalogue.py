@@ -7,6 +7,8 @@ none and are tested against brute force.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import numbers as N, text as T
@@ -116,6 +118,11 @@ def jurisdiction_cap(spark, sf):
     return corpus.capped(_t(spark, sf, RAW).where("text <> ''").select("record_id", "state"), "state", "record_id", 100)
 
 
+@query(ORACLES["jurisdiction_cap"].replace("<= 100", f"<= {corpus.PER_JURISDICTION}"))
+def jurisdiction_cap_full(spark, sf):
+    return corpus.capped(_t(spark, sf, RAW).where("text <> ''").select("record_id", "state"), "state", "record_id", corpus.PER_JURISDICTION)
+
+
 _RANKED = "SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id::VARCHAR), doc_id) AS r, count(*) OVER () AS n FROM documents"
 
 
@@ -385,6 +392,11 @@ def qa_proportional_cap(spark, sf):
     return qa.proportional_cap(_attached(spark, sf).select("row_id", "variant", "split"), ["row_id", "variant"], 1000)
 
 
+@query(re.sub(r"\b1000\b", "20000", ORACLES["qa_proportional_cap"]))
+def qa_proportional_cap_full(spark, sf):
+    return qa.proportional_cap(_attached(spark, sf).select("row_id", "variant", "split"), ["row_id", "variant"])
+
+
 @query("SELECT source_id, count(DISTINCT split) AS splits FROM splits WHERE source_id IS NOT NULL GROUP BY source_id HAVING count(DISTINCT split) > 1")
 def split_leakage(spark, sf):
     return qa.leaks(_t(spark, sf, "splits"))

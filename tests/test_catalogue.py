@@ -2,6 +2,7 @@
 
 import pytest
 
+from corpusloom.operators import corpus, qa
 from corpusloom.plans import catalogue
 
 from oracle import spark_rows, sql_rows
@@ -26,3 +27,13 @@ def test_search_asks_the_questions_of_the_data(spark, sf):
     asked = {x[0] for x in spark.read.parquet(f"{sf}/qa_v1.parquet").where("qa_id % 50 = 0 and question rlike '[a-z]'").select("qa_id").collect()}
     found = {x["qid"] for x in catalogue.QUERIES["boosted_search_questions"](spark, sf).collect()}
     assert asked and found and found <= asked
+
+
+def test_full_caps(spark, sf):
+    assert "20000" in catalogue.ORACLES["qa_proportional_cap_full"] and "12500" in catalogue.ORACLES["jurisdiction_cap_full"]
+    every = catalogue._attached(spark, sf).count()
+    assert catalogue.QUERIES["qa_proportional_cap_full"](spark, sf).count() == min(every, 20_000)
+    rows = spark.createDataFrame([(i, "train" if i % 10 else "test") for i in range(100)], "i long, split string")
+    got = [x["i"] for x in qa.proportional_cap(rows, ["i"], 20).collect()]
+    assert len(got) == 20 and sorted(got) == sorted([0, 10] + [i for i in range(1, 20) if i % 10] )
+    assert corpus.capped(rows, "split", "i", 7).count() == 14
