@@ -7,8 +7,7 @@ side, so the chunks' counts add up exactly; the chunks are spread over all
 workers and summed per document.
 
 Defined results: null and empty texts have an empty list of ids and no tokens;
-repeated keys are counted together by :func:`token_counts` only if the document
-is long, so keys are expected to be unique; empty tables give empty results.
+rows of repeated keys are counted each; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,8 +15,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import written
 from .bpe import DEFAULT_RANKS, ByteBpe
 
 #: Where the pattern's pre-tokens must part: other than white space before white
@@ -49,17 +50,38 @@ def safe_chunks(text: Column, chars: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{chars}}}\z|.{{{chars - chars // 8},{chars}}}{SAFE_END}|.{{{chars}}}.*?(?:{SAFE_END}|\z)"), F.lit(0))
 
 
-def token_counts(df: DataFrame, key: str, text: str = "text", ranks: str = DEFAULT_RANKS, long_chars: int = 100_000) -> DataFrame:
-    """(key, tokens) of every row."""
+def token_counts(df: DataFrame, key: str, text: str = "text", ranks: str = DEFAULT_RANKS, long_chars: int = 100_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, tokens) of every row, by one scan and without a join.
+
+    Rows are counted as they stream by; only long texts are passed on, cut,
+    spread by a salt and summed under the number that their row got.
+    """
     shared = df.sparkSession.sparkContext.broadcast(ByteBpe.load(ranks))
-    kind = df.schema[key].dataType.simpleString()
-    run = _apply(shared, lambda bpe, t: pa.array(bpe.count_array(t)), pa.int64())
-    rows = df.select(F.col(key), F.col(text).cast("string").alias("t"))
-    schema = f"`{key}` {kind}, out long"
-    short = rows.where(f"t is null or length(t) <= {long_chars}").mapInArrow(run, schema)
-    chunks = (
-        rows.where(f"length(t) > {long_chars}").select(key, F.posexplode(safe_chunks(F.col("t"), long_chars // 2)).alias("no", "t"))
-        .withColumn("salt", F.xxhash64(key, "no")).repartition("salt").select(key, "t")
-    )
-    long = chunks.mapInArrow(run, schema).groupBy(key).agg(F.sum("out").alias("out"))
-    return short.union(long).withColumnRenamed("out", "tokens")
+    own = [key, *(c for c in keep if c != key)]
+    # the columns may be called anything, so they travel under numbers
+    types = [f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(own)]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = shared.value
+        for b in batches:
+            t = b.column(b.num_columns - 1)
+            long = pc.fill_null(pc.greater(pc.utf8_length(t), long_chars), False)
+            counted = pa.array(bpe.count_array(pc.if_else(long, pa.scalar(None, t.type), t)), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pc.if_else(long, pa.scalar(None, pa.int64()), counted), pc.if_else(long, t, pa.scalar(None, t.type))],
+                                             names=[*b.schema.names[:-1], "out", "long"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = shared.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(bpe.count_array(b.column(b.num_columns - 1)), pa.int64())], names=["row", "out"])
+
+    seen = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)], F.col(text).cast("string").alias("t")).mapInArrow(first, f"{', '.join(types)}, out long, long string")
+    seen = seen.withColumn("row", F.when(F.col("long").isNotNull(), F.monotonically_increasing_id()))
+    seen = written(seen, "token-counts")
+    names = [F.col(f"c{i}").alias(c) for i, c in enumerate(own)]
+    short = seen.where("long is null").select(*names, F.col("out").alias("tokens"))
+    # long rows are few; their other columns meet the sums again by the row's number
+    rest = seen.where("long is not null")
+    chunks = rest.select("row", F.posexplode(safe_chunks(F.col("long"), long_chars // 2)).alias("no", "t")).repartition(F.xxhash64("row", "no")).select("row", "t")
+    sums = chunks.mapInArrow(second, "row long, out long").groupBy("row").agg(F.sum("out").alias("tokens"))
+    return short.union(rest.drop("out", "long").join(sums, "row").select(*names, "tokens"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import written
 from . import budget, cutting, encoding, formatting, mixing, overlap, scans, splits, subjects
 
 
@@ -60,18 +59,16 @@ def p7_ids(spark, sf):
 
 
 def p2_splits(spark, sf):
-    rows = _t(spark, sf, "splits")
-    slices = rows.select(
-        "row_id", budget.spelled(F.col("source_publisher")).alias("source_publisher"), budget.spelled(F.col("state")).alias("state"),
-        budget.text_language(F.col("text")).alias("language"), F.length("text").alias("chars"),
+    model = budget.learn_languages(_t(spark, sf, "documents"))
+    rows = _t(spark, sf, "splits").select(
+        "row_id", budget.spelled(F.col("source_publisher")).alias("source_publisher"), budget.spelled(F.col("state")).alias("state"), F.length("text").alias("chars"), "text",
     )
-    return budget.roll_up(slices.join(encoding.token_counts(rows, "row_id"), "row_id"), ["source_publisher", "state", "language"])
+    counted = encoding.token_counts(budget.with_language(rows, model), "row_id", keep=("source_publisher", "state", "language", "chars"))
+    return budget.roll_up(counted, ["source_publisher", "state", "language"])
 
 
 def _mixture(spark, sf):
-    rows = _t(spark, sf, "documents")
-    counted = rows.select("doc_id", "source").join(encoding.token_counts(rows, "doc_id"), "doc_id")
-    return mixing.mix(written(counted, "p8-tokens"), _t(spark, sf, "mix_targets"))
+    return mixing.mix(encoding.token_counts(_t(spark, sf, "documents"), "doc_id", keep=("source",)), _t(spark, sf, "mix_targets"))
 
 
 def p8_mixture(spark, sf):
@@ -97,8 +94,8 @@ def p9_composition(spark, sf):
 def p2_documents(spark, sf):
     rows = _t(spark, sf, "documents")
     areas = _areas(spark, sf).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("subject")), "+").alias("subject"))
-    slices = rows.select("doc_id", budget.spelled(F.col("source")).alias("source"), budget.spelled(F.col("lang")).alias("lang"), F.length("text").alias("chars"))
-    counted = slices.join(encoding.token_counts(rows, "doc_id"), "doc_id").join(areas, "doc_id", "left")
+    slices = rows.select("doc_id", budget.spelled(F.col("source")).alias("source"), budget.spelled(F.col("lang")).alias("lang"), F.length("text").alias("chars"), "text")
+    counted = encoding.token_counts(slices, "doc_id", keep=("source", "lang", "chars")).join(areas, "doc_id", "left")
     return budget.roll_up(counted.withColumn("subject", F.coalesce("subject", F.lit("none"))), ["source", "lang", "subject"])
 
 

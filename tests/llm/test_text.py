@@ -50,11 +50,34 @@ def test_encoding_and_counts(spark, reference):
     assert all(r["j"] == r["text"] for r in joined)
 
 
+def test_counts_keep_columns_and_repeated_keys(spark, reference):
+    rows = [(1, "x", "a b " * 100), (1, "y", "it's " * 100), (2, None, None), (None, "z", "c")]
+    df = spark.createDataFrame(rows, "out long, long string, text string").withColumn("__row", F.lit(1))
+    got = sorted((r["out"] or 0, r["long"] or "", r["tokens"]) for r in encoding.token_counts(df, "out", long_chars=50, keep=("long",)).collect())
+    assert got == sorted((k or 0, s or "", len(reference.encode_ordinary(t)) if t else 0) for k, s, t in rows)
+
+
+def test_languages_of_one_script(spark):
+    r = random.Random(7)
+    words = {"en": "the order of court shall be given within days by which every person may appeal".split(), "de": "die verordnung des gerichts wird binnen tagen erlassen wogegen jeder berufung einlegen kann".split()}
+    docs = [(i, " ".join(r.choice(words[k]) for _ in range(20)), r.choice([k, k.upper(), f" {k}"])) for i, k in enumerate(["en", "de"] * 60)] + [(500, "text", None), (501, None, "en"), (502, "12", "und")]
+    labelled = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = budget.learn_languages(labelled)
+    assert model.names == ["de", "en"]
+    texts = [" ".join(r.choice(words[k]) for _ in range(6)) for k in ["en", "de"] * 20] + ["12 !", None, "", "a", "the order " * 50000]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string").withColumn("lang", F.lit(1))
+    got = [x["language"] for x in budget.with_language(df, model).orderBy("row_id").collect()]
+    assert got == ["en", "de"] * 20 + ["und"] * 4 + ["en"]
+    none = budget.learn_languages(labelled.limit(0))
+    assert none.names == [] and {x["language"] for x in budget.with_language(df, none).collect()} == {"und"}
+    assert budget.with_language(df.limit(0), model).count() == 0
+
+
 def test_slices(spark):
-    rows = [(1, " Central ", "text", 3), (2, "CENTRAL", "पाठ a", 4), (3, None, "உரை", 5), (4, "-", "12", 1), (5, "central", None, None)]
-    df = spark.createDataFrame(rows, "id int, state string, text string, tokens long").withColumn("chars", F.length("text"))
-    got = budget.roll_up(df.select(budget.spelled(F.col("state")).alias("state"), budget.text_language(F.col("text")).alias("language"), "tokens", "chars"), ["state", "language"])
-    assert {(r["state"], r["language"]): (r["n_docs"], r["n_tokens"]) for r in got.collect()} == {("central", "en"): (1, 3), ("central", "hi"): (1, 4), ("unknown", "ta"): (1, 5), ("unknown", "und"): (1, 1), ("central", "und"): (1, 0)}
+    rows = [(1, " Central ", "en", 3), (2, "CENTRAL", "hi", 4), (3, None, "ta", 5), (4, "-", "und", 1), (5, "central", None, None)]
+    df = spark.createDataFrame(rows, "id int, state string, language string, tokens long").withColumn("chars", F.length("state"))
+    got = budget.roll_up(df.select(budget.spelled(F.col("state")).alias("state"), "language", "tokens", "chars"), ["state", "language"])
+    assert {(r["state"], r["language"]): (r["n_docs"], r["n_tokens"]) for r in got.collect()} == {("central", "en"): (1, 3), ("central", "hi"): (1, 4), ("unknown", "ta"): (1, 5), ("unknown", "und"): (1, 1), ("central", None): (1, 0)}
 
 
 CUTS = [("a", "word " * 700), ("b", "x" * 5000), ("c", "Sentence one ends. " * 200), ("d", "𝒳" * 1201), ("e", "p" * 900 + "\n\n" + "q" * 900), ("f", "k" * 1200), ("g", None), ("h", ""), ("i", "é" * 1500), ("j", " " * 1300), ("k", "long " * 60000)]
@@ -148,3 +171,31 @@ def test_mix(spark):
     assert none[0].count() == 0 and [x["actual_share"] for x in none[1].collect()] == [0.0] * 4
     whole = {x["source"]: x["actual_share"] for x in mixing.mix(d, t)[1].collect()}  # the absent source does not empty the mixture
     assert abs(whole["big"] - 0.5) < 0.05 and 0.4 < whole["mid"] < 0.52  # up to the shortfall more
+
+
+def test_mixture_holds_at_every_size():
+    for total in (10**6, 15 * 10**11, 25 * 10**12):
+        sizes = [int(total * x) for x in (0.5, 0.3, 0.15, 0.05, 1e-9)]
+        block = mixing.block_size(total, sizes, 100_000, 2 * 10**9)
+        for repeats in (1, 2, 4):
+            quota = mixing.sainte_lague([0.4, 0.3, 0.2, 0.1, 1e-6], [repeats * s // block for s in sizes], total // block)
+            assert abs(sum(quota) * block / total - 1) < 0.001 and (repeats == 1 or abs(quota[0] * block / total - 0.4) < 0.001)
+            shards = [sizes[0] // (k := -(-sizes[0] // (2 * 10**9)))] * k
+            placed = sum(whole * n + rest for (whole, rest), n in zip(mixing.shard_quotas(shards, min(quota[0], repeats * sum(shards) // block), block, repeats), shards))
+            assert abs(placed / (quota[0] * block) - 1) < 0.001
+
+
+def test_blocks_larger_than_shards_are_all_placed():
+    r = random.Random(8)
+    for _ in range(200):
+        tokens = [r.randint(1, 40) for _ in range(r.randint(1, 30))]
+        block, repeats = r.randint(1, 100), r.randint(1, 4)
+        quota = r.randint(0, sum(tokens) * repeats // block)
+        assert sum(w * n + rest for (w, rest), n in zip(mixing.shard_quotas(tokens, quota, block, repeats), tokens)) == quota * block
+
+
+def test_mix_with_shards_smaller_than_a_block(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", 100) for i in range(3000)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    report = {x["source"]: x for x in mixing.mix(docs, targets, total_tokens=200_000, blocks=10, shard_tokens=2000)[1].collect()}
+    assert abs(report["a"]["mixed_tokens"] - 100_000) < 5_000 and abs(report["b"]["mixed_tokens"] - 100_000) < 5_000
