@@ -4,8 +4,8 @@ Canonical bytes keep letters, digits and combining marks in their order, case
 folded, of the text (its named fields in fixed order, each closed by a mark
 that no text holds) and the section number. Equal bytes, equal record.
 
-1. Every input partition folds its own copies in a local trie, so of a hot
-   group each partition sends one entry.
+1. Every input partition makes the bytes, a batch at a time, and folds its own
+   copies in a local trie, so of a hot group each partition sends one entry.
 2. Radix partitioning of the entries: a prefix bucket over ``bucket_bytes`` is
    split by further bytes (the prefix doubles) until each fits or holds one key.
 3. Burst tries with terminal counters count each bucket's keys; they give the
@@ -20,30 +20,48 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
 
 FIELDS = ("Act", "Section", "State", "Status", "Text")
+#: Fixed values of the problem: what is neither compared nor part of a word.
 _DROP = r"[^\p{L}\p{Nd}\p{M}]+"
-_WORD = r"(?<![\p{L}\p{N}\p{M}])"
+_APART = r"[^\p{L}\p{N}\p{M}]"
+_MARK, _END = "\u0001", "\u0000"
 
 
-def plain(c: Column) -> Column:
-    """Letters, digits and combining marks of a string, case ignored."""
-    return F.lower(F.upper(F.regexp_replace(c, _DROP, "")))
+def plain(a: pa.Array) -> pa.Array:
+    """Letters, digits and combining marks of strings, case ignored."""
+    return pc.utf8_lower(pc.utf8_upper(pc.replace_substring_regex(a, _DROP, "")))
 
 
-def canonical_text(text: Column, fields: tuple[str, ...] = FIELDS) -> Column:
-    """Canonical string of a text; of a text of named fields, each field's, in fixed order."""
-    every = "|".join(fields)
-    parts = [plain(F.regexp_extract(text, rf"(?is){_WORD}{f}\s*:(.*?)(?:(?={_WORD}(?:{every})\s*:)|\z)", 1)) for f in fields]
-    # the names may stand in any order, so each is sought on its own
-    named = F.lit(True)
+def canonical_texts(texts: pa.Array, fields: tuple[str, ...] = FIELDS) -> pa.Array:
+    """Canonical strings of texts; of a text of named fields, each field's, in fixed order."""
+    texts = pc.fill_null(texts, "")
+    # each test sees only what the one before left
+    at = pc.indices_nonzero(pc.match_substring(texts, ":"))
     for f in fields:
-        named = named & text.rlike(rf"(?i){_WORD}{f}\s*:")
-    return F.when(named, F.concat_ws("\u0001", *parts, F.lit(""))).otherwise(plain(text))
+        at = at.filter(pc.match_substring_regex(texts.take(at), rf"(?i)(?:^|{_APART}){f}\s*:"))
+    out = plain(texts)
+    if not len(at):
+        return out
+    named, every = texts.take(at), "|".join(fields)
+    # the names may stand in any order, so each is sought on its own
+    parts = [plain(pc.struct_field(pc.extract_regex(named, rf"(?is)(?:^|{_APART}){f}\s*:(?:(?:{every})\s*:|(?P<v>.*?)(?:{_APART}(?:{every})\s*:|$))"), 0)) for f in fields]
+    joined = pc.binary_join_element_wise(*parts, "", _MARK)
+    mask = np.zeros(len(texts), bool)
+    mask[at.to_numpy()] = True
+    return pc.replace_with_mask(out, pa.array(mask), joined)
+
+
+def canonical(texts: pa.Array, sections: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(bytes compared, whether the text has a letter or digit)."""
+    t = canonical_texts(texts)
+    return pc.binary_join_element_wise(t, plain(pc.fill_null(sections, "")), _END).cast(pa.large_binary()), pc.match_substring_regex(t, r"[\p{L}\p{Nd}]")
 
 
 class BurstTrie:
@@ -112,7 +130,8 @@ def _local(flush_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(local, pa.int64()), pa.array(canon, pa.binary()), pa.array(n, pa.int64())], schema=_LOCAL)
 
         for b in batches:
-            for i, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            keys, any_text = canonical(b.column(1), b.column(2))
+            for i, key in zip(b.column(0).filter(any_text).to_pylist(), keys.filter(any_text).to_pylist()):
                 t = trie.add(key, i)
                 rows.append((i, key, t))
                 held += len(key) + 60
@@ -146,41 +165,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], schema=_KEPT)
 
 
-def radix_bucket(entries: DataFrame, bucket_bytes: int, first_width: int = 2, last_width: int = 1 << 20) -> DataFrame:
-    """entries with ``width``: the length of the shortest prefix of canon whose bucket fits."""
-    def prefix(w: int) -> Column:
-        return F.substring("canon", 1, w)
+def marked(entries: DataFrame, prefixes: DataFrame, w: int, name: str, how: str, limit: int = 32 << 20, salts: int = 32) -> DataFrame:
+    """Join of entries with prefixes of *w* bytes: by broadcast if these are small, else salted, as one prefix may hold a third of all entries."""
+    p = F.substring("canon", 1, w)
+    if prefixes.count() * (w + 64) <= limit:
+        return entries.join(F.broadcast(prefixes), p == F.col(name), how)
+    spread = prefixes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return entries.withColumn("__s", F.pmod("local", F.lit(salts))).join(spread, (p == F.col(name)) & (F.col("__s") == F.col("__salt")), how).drop("__salt", "__s")
 
-    over, w, widths = [], first_width, []
-    open_rows = entries.select("canon")
+
+def radix_bucket(entries: DataFrame, bucket_bytes: int, first_width: int = 4, last_width: int = 1 << 20) -> DataFrame:
+    """entries with ``width``: the length of the shortest prefix of canon whose bucket fits or holds one key."""
+    out, width, w, marks = entries, F.lit(first_width), first_width, []
+    open_rows = entries.select("local", "canon")
     while w <= last_width:
+        # one key has one hash and one length; two keys taken for one only stay together in a bucket
+        kind = F.struct(F.length("canon"), F.xxhash64("canon"))
         big = (
-            open_rows.groupBy(prefix(w).alias("p")).agg(F.sum(F.length("canon") + 64).alias("b"), F.min("canon").alias("lo"), F.max("canon").alias("hi"))
-            .where((F.col("b") > bucket_bytes) & (F.col("lo") != F.col("hi"))).select("p")
+            open_rows.groupBy(F.substring("canon", 1, w).alias(f"p{w}")).agg(F.sum(F.length("canon") + 64).alias("b"), F.min(kind).alias("lo"), F.max(kind).alias("hi"))
+            .where((F.col("b") > bucket_bytes) & (F.col("lo") != F.col("hi"))).select(f"p{w}")
         )
-        big = written(big.coalesce(1), "p6-oversized")
+        big = written(big, "p6-oversized")
         if big.isEmpty():
             break
-        over.append((w, big))
         # rows that end before the wider prefix are told apart by their length alone
-        open_rows = open_rows.join(big, prefix(w) == F.col("p"), "left_semi")
-        w *= 2
-    out, width = entries, F.lit(first_width)
-    for w, big in over:
-        out = out.join(big.select(F.col("p").alias(f"p{w}")), prefix(w) == F.col(f"p{w}"), "left")
+        open_rows = marked(open_rows, big, w, f"p{w}", "left_semi")
+        out = marked(out, big, w, f"p{w}", "left")
         width = F.when(F.col(f"p{w}").isNotNull(), F.lit(2 * w)).otherwise(width)
-        widths.append(f"p{w}")
-    return out.withColumn("width", width).drop(*widths)
+        marks.append(f"p{w}")
+        w *= 2
+    return out.withColumn("width", width).drop(*marks)
 
 
 def collapse(df: DataFrame, key: str = "record_id", section: str = "section_number", text: str = "text",
              bucket_bytes: int = 16 << 20, flush_bytes: int = 24 << 20) -> tuple[DataFrame, DataFrame]:
     """(records, copies): records(kept_id, n_copies) one row per record; copies(kept_id, copy_id) one row per further copy."""
-    canon = df.select(
-        F.col(key).cast("long").alias("record_id"),
-        canonical_text(F.col(text).cast("string")).alias("t"), plain(F.coalesce(F.col(section).cast("string"), F.lit(""))).alias("s"),
-    ).where(r"record_id is not null and t rlike '[\\p{L}\\p{Nd}]'").select("record_id", F.concat("t", F.lit("\u0000"), "s").cast("binary").alias("canon"))
-    local = written(canon.mapInArrow(_local(flush_bytes), "record_id long, local long, canon binary, n long"), "p6-local")
+    rows = df.select(F.col(key).cast("long").alias("record_id"), F.col(text).cast("string").alias("t"), F.col(section).cast("string").alias("s")).where("record_id is not null")
+    local = written(rows.mapInArrow(_local(flush_bytes), "record_id long, local long, canon binary, n long"), "p6-local")
     entries = local.where("canon is not null")
     size = entries.agg(F.sum(F.length("canon") + 64)).first()[0] or 0
     cut = radix_bucket(entries, bucket_bytes).select(

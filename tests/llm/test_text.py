@@ -126,6 +126,11 @@ def test_collapse(spark):
     assert records.count() == copies.count() == 0
 
 
+def test_fields_may_be_empty():
+    got = formatting.canonical_texts(pa.array(["Act:Section:1 state: s status: x text:abc", "text: ABC, Status: x; State: S. section: 1 Act:", "Text: only", None]))
+    assert got.to_pylist() == ["\1".join(["", "1", "s", "x", "abc", ""])] * 2 + ["textonly", ""]
+
+
 def test_trie_bursts():
     trie = formatting.BurstTrie(4)
     r = random.Random(2)
