@@ -148,21 +148,28 @@ _KEPT = pa.schema([("local", pa.int64()), ("kept", pa.int64()), ("n", pa.int64()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tries: dict[bytes, BurstTrie] = {}
-    own: list[tuple[int, list]] = []
+    """Rows come sorted by bucket, so one bucket's trie is held at a time."""
+    now, trie, own = None, BurstTrie(), []
+
+    def flush(own: list) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(own), 50000):
+            part = own[k : k + 50000]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([i for i, _ in part], pa.int64()), pa.array([t[0] for _, t in part], pa.int64()),
+                pa.array([t[1] if i == t[0] else 0 for i, t in part], pa.int64()),
+            ], schema=_KEPT)
+
+    closed: list[tuple[int, list]] = []
     for b in batches:
         for bucket, rest, i, n in zip(*(b.column(k).to_pylist() for k in range(4))):
-            trie = tries.get(bucket)
-            if trie is None:
-                trie = tries[bucket] = BurstTrie()
+            if bucket != now:
+                closed += own
+                now, trie, own = bucket, BurstTrie(), []
+                if len(closed) >= 50000:
+                    yield from flush(closed)
+                    closed = []
             own.append((i, trie.add(rest, i, n)))
-    tries.clear()
-    for k in range(0, len(own), 50000):
-        part = own[k : k + 50000]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([i for i, _ in part], pa.int64()), pa.array([t[0] for _, t in part], pa.int64()),
-            pa.array([t[1] if i == t[0] else 0 for i, t in part], pa.int64()),
-        ], schema=_KEPT)
+    yield from flush(closed + own)
 
 
 def marked(entries: DataFrame, prefixes: DataFrame, w: int, name: str, how: str, limit: int = 32 << 20, salts: int = 32) -> DataFrame:
@@ -203,11 +210,11 @@ def collapse(df: DataFrame, key: str = "record_id", section: str = "section_numb
     rows = df.select(F.col(key).cast("long").alias("record_id"), F.col(text).cast("string").alias("t"), F.col(section).cast("string").alias("s")).where("record_id is not null")
     local = written(rows.mapInArrow(_local(flush_bytes), "record_id long, local long, canon binary, n long"), "p6-local")
     entries = local.where("canon is not null")
-    size = entries.agg(F.sum(F.length("canon") + 64)).first()[0] or 0
     cut = radix_bucket(entries, bucket_bytes).select(
         F.substring("canon", F.lit(1), F.col("width")).alias("bucket"), F.expr("substring(canon, width + 1)").alias("rest"), "local", "n",
     )
-    kept = cut.repartition(max(1, -(-size // (2 * bucket_bytes))), "bucket").mapInArrow(_count, "local long, kept long, n long")
+    # a task may get any number of buckets, but works on one at a time
+    kept = cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "local long, kept long, n long")
     kept = written(kept, "p6-kept")
     records = kept.where("local = kept").groupBy(F.col("kept").alias("kept_id")).agg(F.max("n").alias("n_copies"))
     moved = kept.where("local <> kept").select("local", "kept").distinct()
