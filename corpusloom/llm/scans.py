@@ -6,11 +6,13 @@
    file's usual one. Both are aggregations over (file, key), never a group of
    a file's text.
 2. Lexicon. Counts of the words of all chunks, but for parts of words at line
-   ends; all seen twice or more are broadcast, so it grows with the vocabulary.
+   ends; those seen twice or more and making up ``RARE`` of all words are
+   broadcast, which is two million words at most.
 3. Decoding. The lines of a field without their furniture are one stream of
    tokens; a Viterbi search weighs, by the lexicon, leaving a token, correcting
-   it through known confusions, splitting it, and joining it to the next one
-   over a line end (with the scan's hyphen, its own hyphen or none) or a blank.
+   it through known confusions, parting it into any number of words, and joining
+   it to the next ones over line ends (with the scan's hyphen, its own hyphen or
+   none) or a blank. All thresholds are shares of the corpus.
 4. Paragraphs. Their boundaries are the best path over the remaining lines.
 
 Defined results: null, empty and blank fields have no damage and come back as
@@ -82,18 +84,29 @@ def bare(word: str) -> str:
     return "".join(c for c in word if is_word_char(c) or c.isdigit())
 
 
+#: Share of all words under which a form is no evidence of a word; it bounds the lexicon at two million forms.
+RARE = 5e-7
+
+
 class Lexicon:
-    """Word counts with the readings that may stand for them."""
+    """Word counts with the readings that may stand for them. *floor* is the least count of a form in it: all evidence is measured by it, so a corpus and its multiple decide alike."""
 
-    def __init__(self, counts: dict[str, int], keep: int = 200_000):
-        self.counts, self.keep = counts, keep
+    def __init__(self, counts: dict[str, int], floor: int = 2, keep: int = 200_000):
+        self.counts, self.floor, self.keep = counts, floor, keep
         self.total = math.log(max(2, sum(counts.values())))
+        self.unseen = math.log(0.15 * floor) - self.total
+        self.most = max(counts.values(), default=0)
         self.words = sorted(counts)
         self.table = confusions()
+        self.forget()
+
+    def forget(self) -> None:
         self.seen: dict[str, tuple[str, float, bool]] = {}
+        self.facts: dict[str, tuple] = {}
+        self.parts: dict[str, tuple[float, str] | None] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": {}, "facts": {}, "parts": {}}
 
     def known(self, form: str) -> int:
         return self.counts.get(form, 0)
@@ -101,7 +114,7 @@ class Lexicon:
     def prior(self, form: str) -> float:
         """Log probability of a form as it stands."""
         n = self.counts.get(form, 0)
-        return (math.log(n) if n else math.log(0.3)) - self.total
+        return math.log(n) - self.total if n else self.unseen
 
     def _open(self, prefix: str) -> bool:
         i = bisect_left(self.words, prefix)
@@ -139,10 +152,10 @@ class Lexicon:
             n = self.counts.get(form, 0)
             letters = sum(map(is_word_char, form))
             code = re.fullmatch(r"\d+([a-z]|st|nd|rd|th)?|[ivxlc]+", form) is not None
-            if 2 <= len(form) <= 60 and letters and not (code and not (form[0] == "0" or n == 0 and letters)) and n < 100_000:
+            if 2 <= len(form) and letters and not (code and not (form[0] == "0" or n == 0 and letters)):
                 symbols = len(form) - letters
                 ranked = [(self.prior(w) - c, w) for w, c in self.candidates(form, SYMBOL_COST * symbols + LETTER_COST * (2 if len(form) > 4 else 1)).items()
-                          if not w.isdigit() and (len(form) > 3 or self.known(w) > 50 * max(1, n))]
+                          if not w.isdigit() and (len(form) > 3 or self.known(w) > 50 * max(0.5 * self.floor, n))]
                 if ranked:
                     p, w = max(ranked)
                     if p > own:
@@ -152,92 +165,169 @@ class Lexicon:
             self.seen[form] = got
         return got
 
+    def segmented(self, form: str) -> tuple[float, str] | None:
+        """(log probability, words) of a form that runs words together: the best way to part it into frequent words of two letters and more."""
+        if form not in self.parts:
+            if len(self.parts) >= self.keep:
+                self.parts.clear()
+            n, least = len(form), 10 * self.floor
+            longest = 24  # a longer word needs no partner to be told apart from it
+            best: list[tuple[float, int] | None] = [(0.0, 0)] + [None] * n
+            for j in range(2, n + 1):
+                for i in range(max(0, j - longest), j - 1):
+                    if best[i] is not None and (i or j < n) and self.counts.get(form[i:j], 0) > least:
+                        p = best[i][0] + self.prior(form[i:j]) + (-SPLIT_COST if i else 0.0)
+                        if best[j] is None or p > best[j][0]:
+                            best[j] = (p, i)
+            words, j = [], n
+            while j and best[n] is not None:
+                words.append(form[best[j][1] : j])
+                j = best[j][1]
+            self.parts[form] = (best[n][0], " ".join(words[::-1])) if words else None
+        return self.parts[form]
+
+    def fact(self, raw: str) -> tuple:
+        """What a token is by itself, once for each: (form, word, log probability, misread, count of the form, letter at its end, may follow a cut, may begin a joined word)."""
+        got = self.facts.get(raw)
+        if got is None:
+            if len(self.facts) >= self.keep:
+                self.facts.clear()
+            form = core(raw)
+            word, p, wrong = self.resolve(form) if form else ("", 0.0, False)
+            first = raw[0]
+            got = self.facts[raw] = (
+                form, word, p, wrong, self.counts.get(form, 0), is_word_char(raw[-1]), bool(form) and (is_word_char(first) or first.isdigit() or first in "@$†"), first.islower() or not first.isupper(),
+            )
+        return got
 
-class Token:
-    __slots__ = ("raw", "line", "form", "cut")
 
-    def __init__(self, raw: str, line: int, last: bool):
-        self.raw, self.line = raw, line
-        self.form = core(raw)
-        # cut: "" in the line, "end" at its end, "hyphen" at its end with a mark after a letter
-        self.cut = ""
-        if last:
-            held = raw.rstrip(HYPHENS)
-            self.cut = "hyphen" if len(held) < len(raw) and held and is_word_char(held[-1]) else "end"
+def _cut(raw: str) -> str:
+    """How the last token of a line ends: "hyphen" with a mark after a letter, else "end"."""
+    held = raw.rstrip(HYPHENS)
+    return "hyphen" if len(held) < len(raw) and held and is_word_char(held[-1]) else "end"
 
 
-def stream(lines: list[tuple[int, str]]) -> list[Token]:
-    """Tokens of numbered lines, in order."""
-    out = []
+def stream(lines: list[tuple[int, str]]) -> tuple[list[str], list[int], list[str]]:
+    """(tokens, their lines, their cuts) of numbered lines, in order; a cut is "" within a line."""
+    raws: list[str] = []
+    at: list[int] = []
+    cuts: list[str] = []
     for no, line in lines:
         words = line.split()
-        out += [Token(w, no, i == len(words) - 1) for i, w in enumerate(words)]
-    return out
-
-
-JOIN_HYPHEN, KEEP_HYPHEN, JOIN_BARE, LEFT_HYPHEN, SPLIT_COST = 0.7, 0.7, 8.0, 6.0, 9.0
+        if words:
+            raws += words
+            at += [no] * len(words)
+            cuts += [""] * (len(words) - 1)
+            cuts.append(_cut(words[-1]))
+    return raws, at, cuts
 
 
-def decode(tokens: list[Token], lex: Lexicon) -> list[tuple[int, int, str, bool, str]]:
-    """Best path over tokens: (first token, number of tokens, word, misread, kind); kind is word, broken, own, blank or split."""
-    n = len(tokens)
-    best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
+JOIN_HYPHEN, KEEP_HYPHEN, JOIN_BARE, LEFT_HYPHEN, SPLIT_COST = 0.7, 0.7, 8.0, 6.0, 1.2
 
-    def offer(i: int, width: int, gain: float, word: str, wrong: bool, kind: str) -> None:
-        if best[i] + gain > best[i + width]:
-            best[i + width], back[i + width] = best[i] + gain, (i, width, word, wrong, kind)
 
-    for i, t in enumerate(tokens):
-        form = t.form
-        word, p, wrong = lex.resolve(form) if form else ("", 0.0, False)
-        offer(i, 1, p - (LEFT_HYPHEN if t.cut == "hyphen" and i + 1 < n else 0.0), word, wrong, "word")
-        if form and not lex.known(form) and not wrong and len(form) > 5 and form.isalpha():
-            for k in range(2, len(form) - 1):
-                a, b = form[:k], form[k:]
-                if lex.known(a) > 20 and lex.known(b) > 20:
-                    offer(i, 1, lex.prior(a) + lex.prior(b) - SPLIT_COST + lex.total - 6, f"{a} {b}", False, "split")
-        if not form or i + 1 == n:
-            continue
-        u = tokens[i + 1]
-        if not u.form or not is_word_char(u.raw[0]) and not u.raw[0].isdigit() and u.raw[0] not in "@$†":
-            continue
-        if t.cut == "hyphen":
-            joined, hyphened = form + u.form, f"{form}-{u.form}"
+def _joins(raws: list[str], cuts: list[str], i: int, lex: Lexicon) -> list[tuple[int, float, str, bool, str]]:
+    """(tokens, log probability, word, misread, kind) of the words that token *i* may begin together with those after it."""
+    t, u = lex.fact(raws[i]), lex.fact(raws[i + 1])
+    form, cut = t[0], cuts[i]
+    if not form or not u[6]:
+        return []
+    out = []
+    if cut == "hyphen":
+        joined, width = form + u[0], 2
+        w, p, wrong = lex.resolve(joined)
+        # a word cut once more: a line that holds nothing but a middle part
+        while not lex.known(w) and cuts[i + width - 1] == "hyphen" and i + width < len(raws) and lex.fact(raws[i + width])[6]:
+            joined, width = joined + lex.fact(raws[i + width])[0], width + 1
             w, p, wrong = lex.resolve(joined)
+        if lex.known(w):
+            out.append((width, p - JOIN_HYPHEN * (width - 1), w, wrong, "broken"))
+        else:
+            # an unseen whole: more likely cut by the scan, unless both parts are words of their own
+            joined = form + u[0]
+            parts = t[4] > 0 and u[4] > 0 and raws[i][-1] == "-"
+            if not parts and u[7]:
+                out.append((2, lex.prior(joined) - JOIN_HYPHEN, joined, False, "broken"))
+        hyphened = f"{form}-{u[0]}"
+        w, p, wrong = lex.resolve(hyphened)
+        if raws[i][-1] in "-‐‑":
             if lex.known(w):
-                offer(i, 2, p - JOIN_HYPHEN, w, wrong, "broken")
-            else:
-                # an unseen whole: more likely cut by the scan, unless both parts are words of their own
-                parts = lex.known(form) > 0 and lex.known(u.form) > 0 and t.raw[-1] == "-"
-                if not parts and (u.raw[0].islower() or not u.raw[0].isupper()):
-                    offer(i, 2, lex.prior(joined) - JOIN_HYPHEN, joined, False, "broken")
-            w, p, wrong = lex.resolve(hyphened)
-            if t.raw[-1] in "-‐‑":
-                if lex.known(w):
-                    offer(i, 2, p - KEEP_HYPHEN, w, wrong, "own")
-                elif lex.known(form) and lex.known(u.form):
-                    offer(i, 2, lex.prior(hyphened) - KEEP_HYPHEN - 1, hyphened, False, "own")
-        elif is_word_char(t.raw[-1]) and (u.raw[0].islower() or not u.raw[0].isupper()):
-            joined = form + u.form
+                out.append((2, p - KEEP_HYPHEN, w, wrong, "own"))
+            elif t[4] and u[4]:
+                out.append((2, lex.prior(hyphened) - KEEP_HYPHEN - 1, hyphened, False, "own"))
+    elif t[5] and u[7]:
+        # without a mark, within a line or over its end: the whole must be far more frequent than its parts
+        joined, width = form + u[0], 2
+        low, high = min(t[4], u[4]), max(t[4], u[4])
+        j = lex.known(joined)
+        while not j and cut and cuts[i + width - 1] and i + width < len(raws) and (v := lex.fact(raws[i + width]))[6] and v[7] and lex.fact(raws[i + width - 1])[5] and width < 4:
+            joined, low, high, width = joined + v[0], min(low, v[4]), max(high, v[4]), width + 1
             j = lex.known(joined)
-            if j >= 3 and len(joined) > 3 and min(lex.known(form), lex.known(u.form)) < 0.01 * j and (t.cut or max(lex.known(form), lex.known(u.form)) < 0.05 * j):
-                offer(i, 2, lex.prior(joined) - JOIN_BARE, joined, False, "broken" if t.cut else "blank")
-    path, at = [], n
-    while at:
-        path.append(back[at])
-        at = back[at][0]
-    return path[::-1]
+        if j >= 1.5 * lex.floor and len(joined) > 3 and low < 0.01 * j and (cut or high < 0.05 * j):
+            out.append((width, lex.prior(joined) - JOIN_BARE * (width - 1), joined, False, "broken" if cut else "blank"))
+    return out
+
+
+def decode(raws: list[str], cuts: list[str], lex: Lexicon) -> list[tuple[int, int, str, bool, str]]:
+    """Best path over tokens: (first token, number of tokens, word, misread, kind); kind is word, broken, own, blank or split.
+
+    Tokens that no word of several tokens can hold are on every path, so the
+    search is run over the others only, run by run.
+    """
+    n = len(raws)
+    facts = [lex.fact(r) for r in raws]
+    out: list[tuple[int, int, str, bool, str]] = []
+    least = 0.01 * lex.most  # parts of a joined word: one is rarer than this
+
+    def alone(i: int) -> tuple[float, str, bool, str]:
+        form, word, p, wrong, count, *_ = facts[i]
+        left = p - (LEFT_HYPHEN if cuts[i] == "hyphen" and i + 1 < n else 0.0)
+        if form and not count and not wrong and len(form) > 5 and form.isalpha() and (s := lex.segmented(form)) and s[0] > left:
+            return s[0], s[1], False, "split"
+        return left, word, wrong, "word"
+
+    i = 0
+    while i < n:
+        # a run: tokens that may be tied to the next one
+        j, joins = i, {}
+        reach = i
+        while j + 1 < n and j <= reach:
+            t, u = facts[j], facts[j + 1]
+            if cuts[j] == "hyphen" or (t[5] and u[7] and (t[4] < least or u[4] < least)):
+                got = _joins(raws, cuts, j, lex)
+                if got:
+                    joins[j] = got
+                    reach = max(reach, j + max(g[0] for g in got) - 1)
+            j += 1
+        if not joins:
+            p, word, wrong, kind = alone(i)
+            out.append((i, 1, word, wrong, kind))
+            i += 1
+            continue
+        end = reach + 1
+        best, back = [0.0] + [-math.inf] * (end - i), [None] * (end - i + 1)
+        for k in range(i, end):
+            p, word, wrong, kind = alone(k)
+            for width, gain, *step in [(1, p, word, wrong, kind), *joins.get(k, ())]:
+                if best[k - i] + gain > best[k - i + width]:
+                    best[k - i + width], back[k - i + width] = best[k - i] + gain, (k, width, *step)
+        path, at = [], end - i
+        while at:
+            path.append(back[at])
+            at = back[at][0] - i
+        out += path[::-1]
+        i = end
+    return out
 
 
 def damages(lines: list[tuple[int, str]], lex: Lexicon) -> set[tuple[int, str, str]]:
     """(line, kind, word) of broken and misread words."""
-    tokens = stream(lines)
+    raws, at, cuts = stream(lines)
     out = set()
-    for i, _, word, wrong, kind in decode(tokens, lex):
+    for i, _, word, wrong, kind in decode(raws, cuts, lex):
         if kind == "broken":
-            out.add((tokens[i].line, "broken_word", bare(word)))
+            out.add((at[i], "broken_word", bare(word)))
         if wrong:
-            out.add((tokens[i].line, "misread", bare(word)))
+            out.add((at[i], "misread", bare(word)))
     return out
 
 
@@ -248,10 +338,10 @@ def _cased(word: str, like: str) -> str:
     return word[:1].upper() + word[1:] if letters and letters[0].isupper() else word
 
 
-def _restored(tokens: list[Token], step: tuple[int, int, str, bool, str]) -> str:
+def _restored(raws: list[str], step: tuple[int, int, str, bool, str]) -> str:
     """Text of a step with the punctuation and case of its tokens."""
     i, width, word, wrong, kind = step
-    first, last = tokens[i].raw, tokens[i + width - 1].raw
+    first, last = raws[i], raws[i + width - 1]
     if kind == "word" and not wrong:
         return first.replace("­", "")
     lead = re.match(r"^[^\w@$†]*", first)[0]
@@ -294,8 +384,8 @@ def restore(lines: list[tuple[int, str]], lex: Lexicon) -> str:
     """Continuous text of lines, a blank line between paragraphs."""
     out = []
     for own in paragraphs(lines):
-        tokens = stream(own)
-        out.append(" ".join(_restored(tokens, s) for s in decode(tokens, lex)))
+        raws, _, cuts = stream(own)
+        out.append(" ".join(_restored(raws, s) for s in decode(raws, cuts, lex)))
     return "\n\n".join(out)
 
 
@@ -394,37 +484,50 @@ def furniture(chunks: DataFrame, common: float = 0.02) -> DataFrame:
 _REST = 3
 
 
-def word_counts(texts: list[str | None], base: set[str] | frozenset[str] = frozenset()) -> dict[str, int]:
-    """Counts of forms. Left out are parts of words: what stands at a hyphen at a line end, and at any other line end what gives a word of *base* with the other side."""
+def word_counts(texts: list[str | None], base: set[str] | frozenset[str] = frozenset(), forms: dict[str, str] | None = None) -> dict[str, int]:
+    """Counts of forms. Left out are parts of words: what stands at a hyphen at a line end, and at any other line end what gives a word of *base* with the other side. *forms* remembers the form of a token."""
     seen: dict[str, int] = {}
+    forms = {} if forms is None else forms
+
+    def form(raw: str) -> str:
+        f = forms.get(raw)
+        if f is None:
+            f = forms[raw] = core(raw)
+        return f
+
     for text in texts:
         lines = [w for line in (text or "").split("\n") if (w := line.split())]
         gone = set()
         for i, words in enumerate(lines):
-            end = Token(words[-1], i, True)
+            cut = _cut(words[-1])
             for k in range(i + 1, min(len(lines), i + 1 + _REST)):
-                if end.cut == "hyphen" or end.form + core(lines[k][0]) in base:
+                if cut == "hyphen" or form(words[-1]) + form(lines[k][0]) in base:
                     gone |= {(i, len(words) - 1), (k, 0)}
         for i, words in enumerate(lines):
             for k, w in enumerate(words):
-                f = core(w)
+                f = form(w)
                 if f and not f.isdigit() and (i, k) not in gone:
                     seen[f] = seen.get(f, 0) + 1
     return seen
 
 
-def lexicon(chunks: DataFrame) -> Lexicon:
-    """The words of all chunks that are seen twice or more; a form seen once is no evidence of a word."""
-    def counted(base: Broadcast | None) -> dict[str, int]:
+def lexicon(chunks: DataFrame, rare: float = RARE) -> Lexicon:
+    """The words of all chunks that are seen twice or more and make up the share *rare* of all words at least; so it holds at most 1 / rare words."""
+    def counted(base: Broadcast | None) -> tuple[dict[str, int], int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forms: dict[str, str] = {}
             for b in batches:
-                seen = word_counts([t for c in b.columns for t in c.to_pylist()], base.value if base else frozenset())
+                if len(forms) > 300_000:
+                    forms.clear()
+                seen = word_counts([t for c in b.columns for t in c.to_pylist()], base.value if base else frozenset(), forms)
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
-        got = chunks.select(*FIELDS).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 2").toArrow()
-        return dict(zip(got["w"].to_pylist(), got["n"].to_pylist()))
+        every = written(chunks.select(*FIELDS).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "p3-words")
+        floor = max(2, math.ceil(rare * (every.agg(F.sum("n")).first()[0] or 0)))
+        got = every.where(F.col("n") >= floor).toArrow()
+        return dict(zip(got["w"].to_pylist(), got["n"].to_pylist())), floor
 
-    return Lexicon(counted(chunks.sparkSession.sparkContext.broadcast(frozenset(counted(None)))))
+    return Lexicon(*counted(chunks.sparkSession.sparkContext.broadcast(frozenset(counted(None)[0]))))
 
 
 def _plan(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -124,3 +124,18 @@ def test_long_paragraphs_are_not_cut():
     text = scans.restore(lines, scans.Lexicon({w: 500 for w in "words of a paragraph that goes on and with register".split()}))
     assert text.count("register of") == 99 and "\n\n" not in text
     assert [len(p) for p in scans.paragraphs([*lines, (200, "ends."), (201, ""), (202, "Another one.")])] == [200, 1]
+
+
+def test_words_cut_more_than_once_and_run_together():
+    lex = scans.Lexicon({"consideration": 80, "of": 900, "the": 900, "registrar": 300, "for": 500, "lawful": 60, "same": 200})
+    assert scans.damages([(1, "the lawful con-"), (2, "sidera-"), (3, "tion of the"), (4, "regis"), (5, "trar")], lex) == {(1, "broken_word", "consideration"), (4, "broken_word", "registrar")}
+    assert scans.restore([(1, "con-"), (2, "sidera-"), (3, "tion ofthesame registrar.")], lex) == "consideration of the same registrar."
+
+
+def test_a_multiple_of_the_corpus_decides_alike():
+    counts = {"consideration": 80, "of": 900, "the": 900, "registrar": 300, "lawful": 60, "tbe": 3, "rare": 4, "rake": 9}
+    texts = ["the 1awful con-", "sideration of tbe registiar, rare rake", "regis", "trar"]
+    small, large = scans.Lexicon(counts, 2), scans.Lexicon({w: 1000 * n for w, n in counts.items()}, 2000)
+    lines = list(enumerate(texts, 1))
+    assert scans.damages(lines, small) == scans.damages(lines, large) and (2, "misread", "the") in scans.damages(lines, small)
+    assert scans.restore(lines, small) == scans.restore(lines, large)
