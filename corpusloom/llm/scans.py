@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,7 +188,7 @@ class Lexicon:
         return self.parts[form]
 
     def fact(self, raw: str) -> tuple:
-        """What a token is by itself, once for each: (form, word, log probability, misread, count of the form, letter at its end, may follow a cut, may begin a joined word)."""
+        """What a token is by itself, once for each: (form, word, log probability, misread, count of the form, letter at its end, may follow a cut, may go on a word, taken as it stands)."""
         got = self.facts.get(raw)
         if got is None:
             if len(self.facts) >= self.keep:
@@ -197,6 +198,7 @@ class Lexicon:
             first = raw[0]
             got = self.facts[raw] = (
                 form, word, p, wrong, self.counts.get(form, 0), is_word_char(raw[-1]), bool(form) and (is_word_char(first) or first.isdigit() or first in "@$†"), first.islower() or not first.isupper(),
+                not wrong and (not form or form in self.counts or len(form) <= 5 or not form.isalpha()),
             )
         return got
 
@@ -267,16 +269,18 @@ def _joins(raws: list[str], cuts: list[str], i: int, lex: Lexicon) -> list[tuple
     return out
 
 
-def decode(raws: list[str], cuts: list[str], lex: Lexicon) -> list[tuple[int, int, str, bool, str]]:
+def decode(raws: list[str], cuts: list[str], lex: Lexicon, every: bool = True) -> list[tuple[int, int, str, bool, str]]:
     """Best path over tokens: (first token, number of tokens, word, misread, kind); kind is word, broken, own, blank or split.
 
     Tokens that no word of several tokens can hold are on every path, so the
-    search is run over the others only, run by run.
+    search is run over the others only, run by run. Tokens taken as they stand
+    are left out of the path unless *every* is asked.
     """
     n = len(raws)
-    facts = [lex.fact(r) for r in raws]
+    fact_of = lex.facts.get
+    facts = [fact_of(r) or lex.fact(r) for r in raws]
     out: list[tuple[int, int, str, bool, str]] = []
-    least = 0.01 * lex.most  # parts of a joined word: one is rarer than this
+    count_of = lex.counts.get
 
     def alone(i: int) -> tuple[float, str, bool, str]:
         form, word, p, wrong, count, *_ = facts[i]
@@ -285,18 +289,30 @@ def decode(raws: list[str], cuts: list[str], lex: Lexicon) -> list[tuple[int, in
             return s[0], s[1], False, "split"
         return left, word, wrong, "word"
 
+    def tied(j: int) -> list[tuple[int, float, str, bool, str]]:
+        t, u, cut = facts[j], facts[j + 1], cuts[j]
+        # within a line only two tokens make a word, and it must be known
+        if cut == "" and not (t[5] and u[7] and count_of(t[0] + u[0])):
+            return []
+        return _joins(raws, cuts, j, lex)
+
     i = 0
     while i < n:
+        t = facts[i]
+        if i + 1 == n or cuts[i] == "" and not (t[5] and count_of(t[0] + facts[i + 1][0])):
+            if every or not t[8]:
+                p, word, wrong, kind = alone(i)
+                out.append((i, 1, word, wrong, kind))
+            i += 1
+            continue
         # a run: tokens that may be tied to the next one
         j, joins = i, {}
         reach = i
         while j + 1 < n and j <= reach:
-            t, u = facts[j], facts[j + 1]
-            if cuts[j] == "hyphen" or (t[5] and u[7] and (t[4] < least or u[4] < least)):
-                got = _joins(raws, cuts, j, lex)
-                if got:
-                    joins[j] = got
-                    reach = max(reach, j + max(g[0] for g in got) - 1)
+            got = tied(j)
+            if got:
+                joins[j] = got
+                reach = max(reach, j + max(g[0] for g in got) - 1)
             j += 1
         if not joins:
             p, word, wrong, kind = alone(i)
@@ -323,7 +339,7 @@ def damages(lines: list[tuple[int, str]], lex: Lexicon) -> set[tuple[int, str, s
     """(line, kind, word) of broken and misread words."""
     raws, at, cuts = stream(lines)
     out = set()
-    for i, _, word, wrong, kind in decode(raws, cuts, lex):
+    for i, _, word, wrong, kind in decode(raws, cuts, lex, every=False):
         if kind == "broken":
             out.add((at[i], "broken_word", bare(word)))
         if wrong:
@@ -427,7 +443,7 @@ def lines_of(chunks: DataFrame) -> DataFrame:
     x = x.select("chunk_id", "source_file", "page", "field", F.posexplode("l").alias("at", "l")).select(
         "chunk_id", "source_file", "page", "field", (F.col("at") + 1).alias("line_no"), F.trim("l.s").alias("s"), F.coalesce(F.trim("l.b"), F.lit("")).alias("b"),
     ).where("length(s) between 1 and 120")
-    only, lead, tail = (F.regexp_extract("s", p, g) for p, g in ((_ONLY, 1), (_LEAD, 1), (_TAIL, 2)))
+    only, lead, tail = F.regexp_extract("s", _ONLY, 1), *(F.when(F.col("s").rlike(r"\s\s"), F.regexp_extract("s", p, g)).otherwise("") for p, g in ((_LEAD, 1), (_TAIL, 2)))
     x = x.withColumn("only", only).withColumn("lead", F.when(F.col("only") == "", lead).otherwise("")).withColumn("tail", F.when((F.col("only") == "") & (F.col("lead") == ""), tail).otherwise(""))
     x = x.withColumn("digits", F.concat("only", "lead", "tail")).withColumn("head", F.when(F.col("only") != "", "").when(F.col("lead") != "", F.regexp_extract("s", _LEAD, 2)).when(F.col("tail") != "", F.regexp_extract("s", _TAIL, 1)).otherwise(F.col("s")))
     # like a heading: two letters and more in a row, no word of over three letters in small letters
@@ -484,50 +500,69 @@ def furniture(chunks: DataFrame, common: float = 0.02) -> DataFrame:
 _REST = 3
 
 
-def word_counts(texts: list[str | None], base: set[str] | frozenset[str] = frozenset(), forms: dict[str, str] | None = None) -> dict[str, int]:
-    """Counts of forms. Left out are parts of words: what stands at a hyphen at a line end, and at any other line end what gives a word of *base* with the other side. *forms* remembers the form of a token."""
-    seen: dict[str, int] = {}
-    forms = {} if forms is None else forms
+def _edges(text: str) -> list[tuple[str, str, bool]]:
+    """(first token, last token, whether they are one) of each line that has any."""
+    return [(w[0], line.rsplit(None, 1)[-1], len(w) == 1) for line in text.split("\n") if (w := line.split(None, 1))]
+
 
+def word_counts(texts: list[str | None], forms: dict[str, str], base: set[str] | frozenset[str] | None = None) -> dict[str, int]:
+    """Counts of forms but for those at hyphens at line ends. With *base*, instead, how often to take off what stands at another line end and gives a word of *base* with the other side. *forms* remembers the form of a token."""
     def form(raw: str) -> str:
         f = forms.get(raw)
         if f is None:
             f = forms[raw] = core(raw)
         return f
 
+    raws: Counter[str] = Counter()
     for text in texts:
-        lines = [w for line in (text or "").split("\n") if (w := line.split())]
-        gone = set()
-        for i, words in enumerate(lines):
-            cut = _cut(words[-1])
+        if not text:
+            continue
+        lines = _edges(text)
+        # a line's tokens at its edges by their places, which are one if it has one token; furniture may stand between the parts
+        hyphen: set[tuple[int, bool]] = set()
+        joined: set[tuple[int, bool]] = set()
+        for i, (_, last, one) in enumerate(lines):
+            cut = _cut(last) == "hyphen"
+            if not cut and base is None:
+                continue
             for k in range(i + 1, min(len(lines), i + 1 + _REST)):
-                if cut == "hyphen" or form(words[-1]) + form(lines[k][0]) in base:
-                    gone |= {(i, len(words) - 1), (k, 0)}
-        for i, words in enumerate(lines):
-            for k, w in enumerate(words):
-                f = form(w)
-                if f and not f.isdigit() and (i, k) not in gone:
-                    seen[f] = seen.get(f, 0) + 1
+                if cut or form(last) + form(lines[k][0]) in base:
+                    (hyphen if cut else joined).update(((i, not one), (k, False)))
+        if base is None:
+            raws.update(text.split())
+            raws.subtract(lines[i][end] for i, end in hyphen)
+        else:
+            raws.update(lines[i][end] for i, end in joined - hyphen)
+    seen: dict[str, int] = {}
+    for raw, n in raws.items():
+        f = form(raw)
+        if n and f and not f.isdigit():
+            seen[f] = seen.get(f, 0) + n
     return seen
 
 
 def lexicon(chunks: DataFrame, rare: float = RARE) -> Lexicon:
     """The words of all chunks that are seen twice or more and make up the share *rare* of all words at least; so it holds at most 1 / rare words."""
-    def counted(base: Broadcast | None) -> tuple[dict[str, int], int]:
+    def counted(base: Broadcast | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forms: dict[str, str] = {}
             for b in batches:
                 if len(forms) > 300_000:
                     forms.clear()
-                seen = word_counts([t for c in b.columns for t in c.to_pylist()], base.value if base else frozenset(), forms)
+                seen = word_counts([t for c in b.columns for t in c.to_pylist()], forms, base.value if base else None)
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
-        every = written(chunks.select(*FIELDS).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "p3-words")
+        return chunks.select(*FIELDS).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+    def frequent(every: DataFrame) -> tuple[dict[str, int], int]:
         floor = max(2, math.ceil(rare * (every.agg(F.sum("n")).first()[0] or 0)))
         got = every.where(F.col("n") >= floor).toArrow()
         return dict(zip(got["w"].to_pylist(), got["n"].to_pylist())), floor
 
-    return Lexicon(*counted(chunks.sparkSession.sparkContext.broadcast(frozenset(counted(None)[0]))))
+    first = written(counted(None), "p3-words")
+    parts = counted(chunks.sparkSession.sparkContext.broadcast(frozenset(frequent(first)[0]))).withColumnRenamed("n", "off")
+    whole = first.join(parts, "w", "left").select("w", (F.col("n") - F.coalesce("off", F.lit(0))).alias("n"))
+    return Lexicon(*frequent(written(whole, "p3-lexicon")))
 
 
 def _plan(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
