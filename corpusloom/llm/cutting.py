@@ -16,6 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Segments of a block, whose lengths are summed once.
+BLOCK = 256
+
+
 def segment_pattern(body: int) -> str:
     """Pattern of one segment of at most *body* code points."""
     low = max(1, body // 2)
@@ -51,13 +55,17 @@ def cut(df: DataFrame, keys: list[str], text: str, limit: int = 1200, overlap: i
     base = base.select(*keys, F.when(F.length("__t") > limit, segments(F.col("__t"), limit, overlap)).otherwise(F.array("__t")).alias("__s"))
     sizes = F.transform("__s", F.length)
     tails = F.transform("__s", lambda s: lookback(s, overlap))
-    out = base.select(*keys, F.col("__s"), sizes.alias("__n"), tails.alias("__b")).select(
+    # where each segment begins: totals of whole blocks of segments, then the segments before it in its block
+    add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    blocks = F.sequence(F.lit(0), F.floor((F.size("__n") - 1) / BLOCK).cast("int"))
+    out = base.select(*keys, F.col("__s"), sizes.alias("__n"), tails.alias("__b")).withColumn("__t", F.transform(blocks, lambda b: add(F.slice("__n", b * BLOCK + 1, F.lit(BLOCK)))))
+    out = out.withColumn("__q", F.transform(blocks, lambda b: add(F.slice("__t", F.lit(1), b)))).select(
         *keys,
         F.transform("__s", lambda s, i: F.struct(
             (i + 1).alias("piece_no"),
             F.when(i == 0, F.lit("")).otherwise(F.get("__b", i - 1)).alias("back"),
             s.alias("own"),
-            F.aggregate(F.slice("__n", F.lit(1), i), F.lit(1), lambda a, x: a + x).alias("at"),
+            (1 + F.get("__q", F.floor(i / BLOCK).cast("int")) + add(F.slice("__n", i - i % BLOCK + 1, i % BLOCK))).alias("at"),
         )).alias("__p"),
     ).select(*keys, F.explode("__p").alias("__p"))
     return out.select(

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -436,13 +437,35 @@ def roman(c: Column) -> Column:
     )
 
 
+#: A word in small letters, of which headings have none of over three letters.
+_SMALL = r"(?:^|[^\p{L}\p{N}\p{S}@'’-])\p{Ll}[\p{L}\p{N}@†]{3,}"
+
+
+def _maybe_furniture(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines without a word in small letters, and those that are a number or have a gap within."""
+    for b in batches:
+        chunk, file, page = b.columns[:3]
+        for field, text in zip(FIELDS, b.columns[3:]):
+            lists = pc.split_pattern(text, "\n")
+            lines, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+            first = np.ones(len(of), bool)
+            first[1:] = of[1:] != of[:-1]
+            no = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0)) + 1
+            may = pc.or_(pc.invert(pc.match_substring_regex(lines, _SMALL)), pc.or_(pc.match_substring_regex(lines, r"\S\s\s+\S"), pc.match_substring_regex(lines, r"\s*" + _ONLY[1:-1] + r"\s*$")))
+            may = pc.and_(may, pc.match_substring_regex(lines, r"\S"))
+            at = np.flatnonzero(may.to_numpy(zero_copy_only=False))
+            before = pa.array(np.where(first[at], 0, at - 1))
+            yield pa.RecordBatch.from_arrays([
+                chunk.take(pa.array(of[at])), file.take(pa.array(of[at])), page.take(pa.array(of[at])), pa.array([field] * len(at), pa.string()), pa.array(no[at], pa.int32()),
+                lines.take(pa.array(at)), pc.if_else(pa.array(first[at]), "", lines.take(before)),
+            ], names=["chunk_id", "source_file", "page", "field", "line_no", "s", "b"])
+
+
 def lines_of(chunks: DataFrame) -> DataFrame:
     """Short lines with what they may hold of furniture: chunk_id, source_file, page, field, line_no, number, roman, alone, marked, style, key, cased."""
-    x = chunks.select("chunk_id", "source_file", "page", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.split(F.col(f), "\n").alias("l")) for f in FIELDS])).alias("x"))
-    x = x.select("chunk_id", "source_file", "page", "x.field", F.transform("x.l", lambda s, i: F.struct(s.alias("s"), F.when(i > 0, F.get("x.l", i - 1)).alias("b"))).alias("l"))
-    x = x.select("chunk_id", "source_file", "page", "field", F.posexplode("l").alias("at", "l")).select(
-        "chunk_id", "source_file", "page", "field", (F.col("at") + 1).alias("line_no"), F.trim("l.s").alias("s"), F.coalesce(F.trim("l.b"), F.lit("")).alias("b"),
-    ).where("length(s) between 1 and 120")
+    x = chunks.select("chunk_id", "source_file", "page", *FIELDS).mapInArrow(_maybe_furniture, "chunk_id string, source_file string, page int, field string, line_no int, s string, b string")
+    # no header or page number is longer
+    x = x.withColumns({"s": F.trim("s"), "b": F.trim("b")}).where("length(s) between 1 and 120")
     only, lead, tail = F.regexp_extract("s", _ONLY, 1), *(F.when(F.col("s").rlike(r"\s\s"), F.regexp_extract("s", p, g)).otherwise("") for p, g in ((_LEAD, 1), (_TAIL, 2)))
     x = x.withColumn("only", only).withColumn("lead", F.when(F.col("only") == "", lead).otherwise("")).withColumn("tail", F.when((F.col("only") == "") & (F.col("lead") == ""), tail).otherwise(""))
     x = x.withColumn("digits", F.concat("only", "lead", "tail")).withColumn("head", F.when(F.col("only") != "", "").when(F.col("lead") != "", F.regexp_extract("s", _LEAD, 2)).when(F.col("tail") != "", F.regexp_extract("s", _TAIL, 1)).otherwise(F.col("s")))
