@@ -67,7 +67,7 @@ def cut(df: DataFrame, keys: list[str], text: str, limit: int = 1200, overlap: i
             s.alias("own"),
             (1 + F.get("__q", F.floor(i / BLOCK).cast("int")) + add(F.slice("__n", i - i % BLOCK + 1, i % BLOCK))).alias("at"),
         )).alias("__p"),
-    ).select(*keys, F.explode("__p").alias("__p"))
+    ).select(*keys, F.explode_outer("__p").alias("__p"))  # a plain explode infers a filter on the size, for which the pattern runs once more
     return out.select(
         *keys, F.col("__p.piece_no").alias("piece_no"), (F.col("__p.at") - F.length("__p.back")).alias("start"),
         F.length("__p.back").alias("overlap_chars"), F.concat("__p.back", "__p.own").alias("piece"),
