@@ -13,8 +13,11 @@ each, in any order that is the same for all texts, have one in common.
    of parity over all elements of every row.
 3. Rows of equal words form a class; only representatives go on, so a hot group
    of copies costs one row.
-4. Train and evaluation representatives meet on elements; lengths and the number
-   of different bits rule out pairs in the join, the others are kept once.
+4. Train and evaluation representatives meet on elements; an element of more
+   than ``block_pairs`` pairs is parted into as many keys as keep each under
+   that (a training row goes under one of them, an evaluation row under all).
+   Lengths and the number of different bits rule out pairs in the join, the
+   others are kept once.
 5. Texts of candidates are joined; the bag of words and the shingles that the
    share leaves whole must agree, then the words' longest common subsequence
    decides.
@@ -35,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
+from .skew import lookup
 
 SHINGLE, BUCKETS, LANES, SAMPLED = 3, 1 << 18, 8, 8
 
@@ -52,8 +56,8 @@ def needed(longer: int, share: float) -> int:
 class Signer:
     """Elements of texts, (word, its how-manieth in the text) as a hash, and what is derived of them."""
 
-    def __init__(self, cost: np.ndarray | None = None, share: float = 0.8, keep: int = 300_000):
-        self.cost, self.share, self.keep = cost, share, keep
+    def __init__(self, cost: np.ndarray | None = None, share: float = 0.8, keep: int = 300_000, block_pairs: int = 4_000_000):
+        self.cost, self.share, self.keep, self.block_pairs = cost, share, keep, block_pairs
         self.word: dict[str, int] = {}
 
     def _hash(self, w: str) -> int:
@@ -79,8 +83,8 @@ class Signer:
         s = (s ^ (s >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         return s ^ (s >> np.uint64(29)), text, size
 
-    def sign(self, norms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(elements to join on, number of them by text, words by text, [text, lane] parity bits)."""
+    def sign(self, norms: list[str]) -> tuple[np.ndarray, tuple[tuple[np.ndarray, np.ndarray], ...], np.ndarray]:
+        """(words by text, (elements to join on, number of them by text) of both sides, of training rows and of evaluation rows, [text, lane] parity bits)."""
         e, text, size = self.elements(norms)
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
         bit = e >> np.uint64(58 - (LANES - 1).bit_length())
@@ -90,7 +94,21 @@ class Signer:
         order = np.lexsort((e, cost, text))
         first = size - np.array([needed(int(n), self.share) for n in size]) + 1
         kept = order[(np.arange(len(e)) - start[text] < first[text]) & (cost[order] > 0)]
-        return e[kept].view(np.int64), np.bincount(text[kept], minlength=len(norms)), size, lanes.view(np.int64)
+        keys, of, parts = e[kept], text[kept], np.ceil(cost[kept] / self.block_pairs).astype(np.int64)
+        hot = parts > 1
+        plain = (keys[~hot].view(np.int64), np.bincount(of[~hot], minlength=len(norms)))
+        own = lanes[of[hot], 0]  # any hash of the text
+        trained = (_part(keys[hot], own % parts[hot].astype(np.uint64)), np.bincount(of[hot], minlength=len(norms)))
+        each = np.repeat(np.arange(hot.sum()), parts[hot])
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(parts[hot]) - parts[hot], parts[hot])
+        evaluated = (_part(keys[hot][each], nth.astype(np.uint64)), np.bincount(of[hot][each], minlength=len(norms)))
+        return size, (plain, trained, evaluated), lanes.view(np.int64)
+
+
+def _part(keys: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Keys of the *nth* parts of elements."""
+    k = (keys + (nth + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (k ^ (k >> np.uint64(31))).view(np.int64)
 
 
 def common_in_order(a: list[str], b: list[str]) -> int:
@@ -165,36 +183,40 @@ def element_costs(rows: DataFrame) -> np.ndarray:
     return (n[:BUCKETS] * (SAMPLED * n[BUCKETS:] + 1)).astype(np.float32)
 
 
-def overlaps(df: DataFrame, key: str = "row_id", split: str = "split", text: str = "text", train: tuple[str, ...] = ("train",),
-             held: tuple[str, ...] = ("validation", "test"), share: float = 0.8) -> DataFrame:
-    """(row_id_a, row_id_b, train_id, held_id, jaccard, in_order): every near-same pair of a train and a held-out row."""
-    rows = df.select(F.col(key).cast("long").alias("row_id"), F.col(split).isin(*train).alias("train"), norm_words(F.col(text).cast("string")).alias("t")).where(
-        F.col(split).isin(*train, *held) & F.col("row_id").isNotNull() & (F.length("t") > 0)
-    )
+def near_classes(df: DataFrame, key: str = "row_id", split: str = "split", text: str = "text", train: tuple[str, ...] = ("train",), held: tuple[str, ...] = ("validation", "test"),
+                 share: float = 0.8, source: str | None = None, block_pairs: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+    """(near, members): near(x, y, jaccard, in_order) of near-same classes with a train and a held-out row, x <= y; members(row_id, train, split, source, cls)."""
+    of_source = F.coalesce(F.col(source).cast("string"), F.lit("unknown")) if source else F.lit(None).cast("string")
+    rows = df.select(F.col(key).cast("long").alias("row_id"), F.col(split).isin(*train).alias("train"), norm_words(F.col(text).cast("string")).alias("t"),
+                     F.col(split).alias("split"), of_source.alias("source")).where(F.col(split).isin(*train, *held) & F.col("row_id").isNotNull() & (F.length("t") > 0))
     cost = rows.sparkSession.sparkContext.broadcast(element_costs(rows))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(cost.value, share)
+        signer = Signer(cost.value, share, block_pairs=block_pairs)
         for part, norms in _parts(batches, 2):
-            keys, n, size, lanes = signer.sign(norms)
+            size, sides, lanes = signer.sign(norms)
             yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(1), pa.array([hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() for t in norms], pa.binary()), pa.array(size, pa.int32()),
-                *(pa.array(lanes[:, i]) for i in range(LANES)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(keys)),
-            ], names=["row_id", "train", "digest", "n", *bits, "keys"])
+                part.column(0), part.column(1), part.column(3), part.column(4),
+                pa.array([hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() for t in norms], pa.binary()), pa.array(size, pa.int32()),
+                *(pa.array(lanes[:, i]) for i in range(LANES)), *(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(keys)) for keys, n in sides),
+            ], names=["row_id", "train", "split", "source", "digest", "n", *bits, "keys", "train_keys", "held_keys"])
 
     bits = [f"b{i}" for i in range(LANES)]
-    signed = written(rows.mapInArrow(sign, f"row_id long, train boolean, digest binary, n int, {', '.join(f'{c} long' for c in bits)}, keys array<long>"), "p5-signed")
-    classes = signed.groupBy("digest").agg(F.min("row_id").alias("cls"), F.max("train").alias("has_train"), F.min("train").alias("only_train"))
-    members = written(signed.select("row_id", "train", "digest").join(classes, "digest").select("row_id", "train", "cls", "has_train", "only_train"), "p5-members")
+    signed = written(rows.mapInArrow(sign, f"row_id long, train boolean, split string, source string, digest binary, n int, {', '.join(f'{c} long' for c in bits)}, "
+                                           "keys array<long>, train_keys array<long>, held_keys array<long>"), "p5-signed")
+    classes = signed.groupBy("digest").agg(F.min("row_id").alias("cls"), F.max("train").alias("has_train"), F.min("train").alias("only_train"), F.count("*").alias("size"))
+    slim = signed.select("row_id", "train", "split", "source", "digest")
+    members = written(lookup(slim, classes, "digest", "size", slim.count()).select("row_id", "train", "split", "source", "cls", "has_train", "only_train"), "p5-members")
     # representatives only: rows of a class but its first are few, or the join shuffles by row
     copies = members.where("row_id <> cls").select("row_id")
     flags = members.where("row_id = cls and has_train and not only_train").select("row_id", F.lit(True).alias("both"))
-    keyed = signed.join(copies, "row_id", "left_anti").join(flags, "row_id", "left").select(
+    reps = signed.join(copies, "row_id", "left_anti").join(flags, "row_id", "left").select(
         F.col("row_id").alias("cls"), (F.col("train") | F.col("both").isNotNull()).alias("has_train"), (F.col("train") & F.col("both").isNull()).alias("only_train"),
-        "n", *bits, F.explode("keys").alias("k"),
+        "n", *bits, "keys", "train_keys", "held_keys",
     )
     of = lambda side: [F.col("cls").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *bits))]
-    trained, evaluated = keyed.where("has_train").select("k", *of("x")), keyed.where("not only_train").select("k", *of("y"))
+    trained = reps.where("has_train").select(F.explode(F.concat("keys", "train_keys")).alias("k"), *of("x"))
+    evaluated = reps.where("not only_train").select(F.explode(F.concat("keys", "held_keys")).alias("k"), *of("y"))
     need = F.ceil(F.greatest("x_n", "y_n") * F.lit(share))
     apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in bits[1:]), F.bit_count(F.col(f"x_{bits[0]}").bitwiseXOR(F.col(f"y_{bits[0]}"))))
     may = (F.least("x_n", "y_n") >= need) & (apart <= F.col("x_n") + F.col("y_n") - 2 * need)
@@ -214,7 +236,12 @@ def overlaps(df: DataFrame, key: str = "row_id", split: str = "split", text: str
         .select("x", "y", "s", "t").mapInArrow(verify, "x long, y long, jaccard double, in_order double")
     )
     both = members.where("row_id = cls and has_train and not only_train").select("cls").distinct()
-    near = written(near.union(both.select("cls", "cls", F.lit(1.0), F.lit(1.0))), "p5-near")
+    return written(near.union(both.select("cls", "cls", F.lit(1.0), F.lit(1.0))), "p5-near"), members.drop("has_train", "only_train")
+
+
+def overlaps(df: DataFrame, **options) -> DataFrame:
+    """(row_id_a, row_id_b, train_id, held_id, jaccard, in_order): every near-same pair of a train and a held-out row; *options* as of :func:`near_classes`."""
+    near, members = near_classes(df, **options)
     sides = near.union(near.where("x <> y").select("y", "x", "jaccard", "in_order"))
     t = members.where("train").select(F.col("cls").alias("x"), F.col("row_id").alias("train_id"))
     e = members.where("not train").select(F.col("cls").alias("y"), F.col("row_id").alias("held_id"))
@@ -224,9 +251,14 @@ def overlaps(df: DataFrame, key: str = "row_id", split: str = "split", text: str
     )
 
 
-def report(found: DataFrame, df: DataFrame, key: str = "row_id", split: str = "split", source: str = "source_publisher") -> DataFrame:
-    """(split, source, n_pairs, n_held, n_train): confirmed pairs by the held-out row's split and source."""
-    of = df.select(F.col(key).cast("long").alias("held_id"), F.col(split).alias("split"), F.coalesce(F.col(source), F.lit("unknown")).alias("source"))
-    return found.join(of, "held_id").groupBy("split", "source").agg(
-        F.count("*").alias("n_pairs"), F.countDistinct("held_id").alias("n_held"), F.countDistinct("train_id").alias("n_train"),
-    )
+def report(df: DataFrame, source: str = "source_publisher", **options) -> DataFrame:
+    """(split, source, n_pairs, n_held, n_train): confirmed pairs by the held-out row's split and source. Classes are counted and their sizes multiplied, so copies cost nothing."""
+    near, members = near_classes(df, source=source, **options)
+    sides = near.select("x", "y").union(near.where("x <> y").select("y", "x"))
+    trained = members.where("train").groupBy(F.col("cls").alias("x")).agg(F.count("*").alias("n_x"))
+    held = members.where("not train").groupBy(F.col("cls").alias("y"), "split", "source").agg(F.count("*").alias("n_y"))
+    links = written(sides.join(trained, "x").join(held, "y"), "p5-links")
+    each = links.groupBy("split", "source", "y").agg(F.sum(F.col("n_x") * F.col("n_y")).alias("pairs"), F.max("n_y").alias("n_y"))
+    counted = each.groupBy("split", "source").agg(F.sum("pairs").alias("n_pairs"), F.sum("n_y").alias("n_held"))
+    partners = links.select("split", "source", "x", "n_x").distinct().groupBy("split", "source").agg(F.sum("n_x").alias("n_train"))
+    return counted.join(partners, ["split", "source"])

@@ -104,8 +104,7 @@ def p5_found(spark, sf):
 
 
 def p5_report(spark, sf):
-    rows = _t(spark, sf, "splits")
-    return overlap.report(overlap.overlaps(rows), rows)
+    return overlap.report(_t(spark, sf, "splits"))
 
 
 def p3_found(spark, sf):

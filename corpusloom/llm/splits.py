@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
 from .graph import components
+from .skew import lookup
 
 SPLITS = ("train", "validation", "test")
 
@@ -74,17 +75,20 @@ def tied_acts(records: DataFrame) -> DataFrame:
 
 def record_components(records: DataFrame) -> DataFrame:
     """(tab, row_id, labels, component) of every record."""
+    total = records.count()
     roots = act_roots(records)
+    by_act = records.where("act is not null").groupBy("act").agg(F.count("*").alias("n")).join(roots, "act")
     by_source = (
         records.where("act is not null and source is not null").select("act", "source").distinct()
         .groupBy("source").agg(F.min("act").alias("act")).join(roots, "act").select("source", F.col("root").alias("source_root"))
     )
-    return (
-        records.join(roots, "act", "left").join(by_source, "source", "left")
-        .select("tab", "row_id", "labels", F.coalesce(
-            "root", "source_root", "source", F.unhex(F.md5(F.concat_ws(":", F.lit("r"), "tab", F.col("row_id").cast("string"))))
-        ).alias("component"))
-    )
+    # only records without an act go by their source
+    sizes = records.where("act is null and source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    named = lookup(records.where("act is not null"), by_act, "act", "n", total).withColumn("source_root", F.lit(None).cast("binary"))
+    unnamed = lookup(records.where("act is null"), by_source.join(sizes, "source"), "source", "n", total).withColumn("root", F.lit(None).cast("binary"))
+    return named.unionByName(unnamed).select("tab", "row_id", "labels", F.coalesce(
+        "root", "source_root", "source", F.unhex(F.md5(F.concat_ws(":", F.lit("r"), "tab", F.col("row_id").cast("string"))))
+    ).alias("component"))
 
 
 def stratify(counts: np.ndarray, desired: np.ndarray) -> np.ndarray:

@@ -105,10 +105,18 @@ def test_overlaps(spark):
     got = [(x["row_id_a"], x["row_id_b"]) for x in overlap.overlaps(df).collect()]
     want = brute([x for x in rows if x[0] < 907 or x[0] > 999]) | {(907, 908)}
     assert len(got) == len(set(got)) and set(got) <= want
-    # banding finds what the docstring says: all that are alike, most of those with edits all over
-    words = {x[0]: "".join(c if c.isalnum() else " " for c in x[2] or "").lower().split() for x in rows}
-    alike = {p for p in want if overlap.jaccard(words[p[0]], words[p[1]])[0] >= 0.65}
-    assert alike <= set(got) and len(set(got)) >= 0.95 * len(want) and len(alike) > 100
+    assert set(got) == want and len(want) > 100
+    # elements of many pairs are parted, and the pairs are the same
+    assert {(x["row_id_a"], x["row_id_b"]) for x in overlap.overlaps(df, block_pairs=3).collect()} == want
+    # counts of classes are those of the pairs
+    of = {x[0]: x[1] for x in rows}
+    named = df.withColumn("source_publisher", F.when(F.col("row_id") % 3 > 0, F.concat(F.lit("s"), (F.col("row_id") % 3).cast("string"))))
+    counts = {}
+    for a, b in want:
+        e, t = (a, b) if of[a] != "train" else (b, a)
+        c = counts.setdefault((of[e], f"s{e % 3}" if e % 3 else "unknown"), (set(), set(), set()))
+        c[0].add((a, b)), c[1].add(e), c[2].add(t)
+    assert {(x["split"], x["source"]): (x["n_pairs"], x["n_held"], x["n_train"]) for x in overlap.report(named).collect()} == {k: tuple(map(len, v)) for k, v in counts.items()}
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
@@ -134,3 +142,49 @@ def test_overlaps_of_scattered_edits(spark):
 def test_common_in_order():
     assert overlap.common_in_order("a b c d".split(), "b a c x d".split()) == 3
     assert overlap.near_same("a b c d e", "a b c d x") is not None and overlap.near_same("a b c d e", "a b c x y") is None
+
+
+@pytest.mark.parametrize("share", [0.92, 0.9, 0.88, 0.85, 0.82, 0.8])
+def test_signatures_miss_no_pair(share):
+    # of 300 pairs each, with words replaced at random places: an element in common to join on, and bits within the bound
+    r = random.Random(int(share * 100))
+    vocab = [f"w{i}" for i in range(2000)]
+    a = [[r.choice(vocab) for _ in range(r.randint(40, 300))] for _ in range(300)]
+    b = []
+    for words in a:
+        w = list(words)
+        for at in r.sample(range(len(w)), int(len(w) * (1 - share) + 1e-9)):
+            w[at] = r.choice(vocab)
+        b.append(w)
+    cost = np.random.default_rng(1).integers(1, 1000, overlap.BUCKETS).astype(np.float32)
+    signer = overlap.Signer(cost)
+    size, ((keys, n), *_), lanes = signer.sign([" ".join(w) for w in a + b])
+    own = [set(x) for x in np.split(keys, np.cumsum(n)[:-1])]
+    for i in range(300):
+        assert overlap.near_same(" ".join(a[i]), " ".join(b[i])) is not None and own[i] & own[300 + i]
+        apart = sum(int(x).bit_count() for x in (lanes[i] ^ lanes[300 + i]).view(np.uint64))
+        assert apart <= size[i] + size[300 + i] - 2 * overlap.needed(max(size[i], size[300 + i]), 0.8)
+
+
+def test_lookup(spark):
+    from corpusloom.llm.skew import lookup
+
+    rows = spark.createDataFrame([(i, b"hot" if i % 3 == 0 else None if i % 3 == 1 else bytes([i % 50])) for i in range(600)], "i long, k binary")
+    table = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    got = {x["i"]: x["least"] for x in lookup(rows, table, "k", "n", 600, parts=10).collect()}
+    want = {}
+    for x in rows.collect():
+        want[x["i"]] = None if x["k"] is None else min(y for y in range(600) if (b"hot" if y % 3 == 0 else None if y % 3 == 1 else bytes([y % 50])) == bytes(x["k"]))
+    assert got == want and lookup(rows.limit(0), table, "k", "n", 0).count() == 0
+
+
+def test_assignment_keeps_label_shares(spark):
+    r = random.Random(9)
+    rows = [(i, f"A{r.randint(0, 2500)}", None) for i in range(12_000)]
+    s = spark.createDataFrame(rows, "row_id long, act_id string, source_id string").withColumn("state", F.concat(F.lit("s"), (F.col("row_id") % 7).cast("string")))
+    records = splits.related_records({"splits": (s, "row_id", {"state": F.col("state")})})
+    got = splits.share_report(splits.assign(records), records).collect()
+    for x in got:
+        want = {"train": 0.9, "validation": 0.05, "test": 0.05}[x["split"]]
+        assert abs(x["share"] - want) < (0.01 if x["label"] == "splits" else 0.025), x
+    assert len({x["label"] for x in got}) == 8 and len(got) == 24
