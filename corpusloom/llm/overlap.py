@@ -35,7 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
 from .skew import lookup
@@ -43,9 +44,9 @@ from .skew import lookup
 SHINGLE, BUCKETS, LANES, SAMPLED = 3, 1 << 18, 8, 8
 
 
-def norm_words(text: Column) -> Column:
+def norm_words(texts: pa.Array) -> pa.Array:
     """Words of letters, marks and digits in lower case, parted by one blank."""
-    return F.trim(F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", " "))))
+    return pc.utf8_trim(pc.utf8_lower(pc.utf8_upper(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\p{L}\p{M}\p{N}]+", " "))), " ")
 
 
 def needed(longer: int, share: float) -> int:
@@ -159,10 +160,14 @@ def near_same(a: str, b: str, share: float = 0.8, shingle: int = SHINGLE) -> tup
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows by the thousand whose texts have words, and the texts' words."""
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
-            yield part, part.column(column).to_pylist()
+            norms = norm_words(part.column(column))
+            has = pc.greater(pc.binary_length(norms), 0)
+            if pc.any(has).as_py():
+                yield part.filter(has), norms.filter(has).to_pylist()
 
 
 def element_costs(rows: DataFrame) -> np.ndarray:
@@ -187,8 +192,8 @@ def near_classes(df: DataFrame, key: str = "row_id", split: str = "split", text:
                  share: float = 0.8, source: str | None = None, block_pairs: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """(near, members): near(x, y, jaccard, in_order) of near-same classes with a train and a held-out row, x <= y; members(row_id, train, split, source, cls)."""
     of_source = F.coalesce(F.col(source).cast("string"), F.lit("unknown")) if source else F.lit(None).cast("string")
-    rows = df.select(F.col(key).cast("long").alias("row_id"), F.col(split).isin(*train).alias("train"), norm_words(F.col(text).cast("string")).alias("t"),
-                     F.col(split).alias("split"), of_source.alias("source")).where(F.col(split).isin(*train, *held) & F.col("row_id").isNotNull() & (F.length("t") > 0))
+    rows = df.select(F.col(key).cast("long").alias("row_id"), F.col(split).isin(*train).alias("train"), F.col(text).cast("string").alias("t"),
+                     F.col(split).alias("split"), of_source.alias("source")).where(F.col(split).isin(*train, *held) & F.col("row_id").isNotNull() & F.col("t").isNotNull())
     cost = rows.sparkSession.sparkContext.broadcast(element_costs(rows))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +228,8 @@ def near_classes(df: DataFrame, key: str = "row_id", split: str = "split", text:
     pairs = trained.join(evaluated, (trained["k"] == evaluated["k"]) & (F.col("x") != F.col("y")) & may).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = written(pairs, "p5-candidates")
     wanted = pairs.select(F.col("x").alias("row_id")).union(pairs.select("y")).distinct()
-    texts = written(rows.select("row_id", "t").join(wanted, "row_id", "left_semi").dropDuplicates(["row_id"]), "p5-texts")
+    texts = rows.select("row_id", "t").join(wanted, "row_id", "left_semi").dropDuplicates(["row_id"])
+    texts = written(texts.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([b.column(0), norm_words(b.column(1))], names=["row_id", "t"]) for b in bs), "row_id long, t string"), "p5-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
