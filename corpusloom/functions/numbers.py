@@ -82,3 +82,36 @@ def softmax(logits: Column) -> Column:
 def tail(values: Column, n: int) -> Column:
     """The last *n* elements."""
     return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), F.lit(n))
+
+
+def unknown_count(ids: Column, prompt_length: Column, unk: int = 1) -> Column:
+    """Unknown tokens among the first *prompt_length* ids."""
+    return F.size(F.filter(F.slice(ids, F.lit(1), F.greatest(prompt_length, F.lit(0))), lambda x: x == unk))
+
+
+def causal_mask(n: Column) -> Column:
+    """n rows of n flags: row i sees positions up to i."""
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.transform(places, lambda j: j <= i))
+
+
+def cross_entropy(logits: Column, label: Column, ignored: int = IGNORED) -> Column:
+    """Loss of one position: log of the summed powers less the label's logit; null for an ignored label."""
+    spread = lambda x, m: F.log(F.aggregate(x, F.lit(0.0), lambda s, y: s + F.exp(y - m))) + m
+    loss = lambda x: let(F.array_max(x), lambda m: spread(x, m)) - F.get(x, label)
+    return F.when(label != ignored, let(logits, loss))
+
+
+def layer_norm(values: Column, eps: float = 1e-5) -> Column:
+    """Values less their mean, over their spread."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    centred = lambda x: let(total(x) / F.size(x), lambda m: F.transform(x, lambda y: y - m))
+    scaled = lambda x: let(F.sqrt(total(F.transform(x, lambda y: y * y)) / F.size(x) + eps), lambda d: F.transform(x, lambda y: y / d))
+    return let(centred(values), scaled)
+
+
+def drawn(probs: Column, u: Column) -> Column:
+    """Index drawn from probabilities by a number from 0 to under 1: the first whose running total passes it; the last possible one if none does."""
+    step = lambda a, p: F.struct((a["at"] + F.when(a["sum"] + p <= u, 1).otherwise(0)).alias("at"), (a["sum"] + p).alias("sum"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"))
+    return F.least(F.aggregate(probs, start, step, lambda a: a["at"]), F.size(probs) - 1)

@@ -92,16 +92,15 @@ def sha256(c: Column) -> Column:
 
 def clauses(c: Column, small: int = 45) -> Column:
     """Sentence and clause parts; a part of under *small* characters joins the one before it."""
-    parts = F.filter(F.split(collapse(c), r"(?<=[.;:])\s+|(?<=\))\s+"), lambda x: x != "")
-    def add(a: Column, x: Column) -> Column:
-        last = F.size(a)
-        return F.when((last > 0) & (F.length(x) < small), F.concat(F.slice(a, F.lit(1), last - 1), F.array(F.concat_ws(" ", F.element_at(a, last), x)))).otherwise(F.concat(a, F.array(x)))
-    return F.aggregate(parts, F.array().cast("array<string>"), add)
+    # a line feed, which collapsed text does not hold, parts what stays apart
+    parts = lambda p: F.transform(p, lambda x, i: F.when(i == 0, x).when(F.length(x) < small, F.concat(F.lit(" "), x)).otherwise(F.concat(F.lit("\n"), x)))
+    found = F.filter(F.split(collapse(c), r"(?<=[.;:])\s+|(?<=\))\s+"), lambda x: x != "")
+    return F.filter(F.split(F.array_join(parts(found), ""), "\n"), lambda x: x != "")
 
 
 def ocr_corrupt(c: Column) -> Column:
     """True for text with clear debris of optical recognition; null is clean."""
-    # Patterns of debris, any one of which suffices.
+    # Fixed values, down to the counts below: patterns of debris, any one of which suffices.
     hard = (
         r"\b[A-Za-z]{2,}~[A-Za-z]*", r"\b[A-Za-z]{2,}[,;:]{2,}", r"\b[A-Za-z]{2,}-\s+(?=[A-Za-z])",
         r"\b(?:wtiler|gaseR|Rcgulatio\w*|R,qistered|tolss|thu|imd)\b", r"\b(?:ol|ofi)\b(?=\s+(?:Government|accidents|fire-areas|records))",

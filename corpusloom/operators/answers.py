@@ -60,9 +60,11 @@ def grounded(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def context(queries: DataFrame, hits: DataFrame, max_chunks: int = 3) -> DataFrame:
-    """qid, context: question, up to *max_chunks* sources, instruction."""
+    """qid, context: question, up to *max_chunks* sources, instruction. A null or blank question is an error when the row is reached."""
     if max_chunks < 1:
         raise ValueError("max_chunks must be at least 1")
+    question = T.strip(F.coalesce("query", F.lit("")))
+    question = F.when(question == "", F.raise_error(F.lit("a question is blank")).cast("string")).otherwise(question)
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c)
     block = F.concat_ws(
         "\n", F.lit(""), F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("]")), line("Section", T.or_default(F.col("section_number"), UNKNOWN)),
@@ -72,6 +74,22 @@ def context(queries: DataFrame, hits: DataFrame, max_chunks: int = 3) -> DataFra
     per = hits.where(F.col("rank") <= max_chunks).groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda y: y["b"]), "\n").alias("body"))
     x = queries.select("qid", "query").join(per, "qid", "left")
     return x.select("qid", F.concat_ws(
-        "\n", F.lit("LEGAL QUESTION"), T.strip(F.col("query")), F.lit(""), F.lit("RETRIEVED LEGAL CONTEXT"), F.coalesce("body", F.concat_ws("\n", F.lit(""), F.lit(NO_CONTEXT))),
+        "\n", F.lit("LEGAL QUESTION"), question, F.lit(""), F.lit("RETRIEVED LEGAL CONTEXT"), F.coalesce("body", F.concat_ws("\n", F.lit(""), F.lit(NO_CONTEXT))),
         F.lit(""), *map(F.lit, INSTRUCTION),
     ).alias("context"))
+
+
+# What stands around the question of an answer prompt, and the tokens of the whole prompt.
+ASKED, ANSWERED, PROMPT_TOKENS = "\n\nQUESTION\n", "\n\nANSWER USING ONLY THE RETRIEVED CONTEXT:\n", 240
+
+
+def answer_prompt(df: DataFrame, load, context: str = "context", query: str = "query", tokens: int = PROMPT_TOKENS) -> DataFrame:
+    """Adds ``prompt``: the last tokens of the context that the budget leaves, then question and instruction. A question that leaves none is an error when the row is reached. *load* gives (encode, decode)."""
+    from .qa import decoder_udf, encoder_udf
+
+    encode = encoder_udf(lambda: load()[0])
+    x = df.withColumn("__i", F.concat(F.lit(ASKED), T.strip(F.coalesce(query, F.lit(""))), F.lit(ANSWERED)))
+    x = x.withColumns({"__n": F.lit(tokens) - F.size(encode(F.col("__i"))), "__c": encode(F.coalesce(context, F.lit("")))})
+    room = F.when(F.col("__n") > 0, F.col("__n")).otherwise(F.raise_error(F.lit("a question leaves no room for context")).cast("int"))
+    x = x.withColumn("__kept", F.slice("__c", F.greatest(F.size("__c") - room + 1, F.lit(1)), room))
+    return x.withColumn("prompt", F.concat(decoder_udf(load)(F.col("__kept")), "__i")).drop("__i", "__n", "__c", "__kept")

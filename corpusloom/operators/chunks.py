@@ -13,7 +13,7 @@ from ..session import written
 from .ordering import ranked
 
 SIZE, OVERLAP = 1200, 150
-#: A heading: a number and a full stop at a line's start, then a title of up to 300 characters that crosses no other such line, up to a dash.
+# Fixed value: a heading, that is a number and a full stop at a line's start, then a title of up to 300 characters that crosses no other such line, up to a dash.
 HEADING = r"(?ms)(?:^|\n)\s*(\d+[A-Z]?)\.\s+((?:(?!\n\s*\d+[A-Z]?\.\s+).){1,300}?)(?:\s*[—–-]\s*)"
 
 
@@ -30,7 +30,7 @@ def headings(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, ord, section, title: headings of a text in order."""
     found = F.regexp_extract_all(F.col(text), F.lit(HEADING), F.lit(0))
     x = df.select(*keys, F.posexplode(found).alias("ord", "__h"))
-    return x.select(*keys, "ord", F.regexp_extract("__h", HEADING, 1).alias("section"), T.collapse(F.regexp_extract("__h", HEADING, 2)).alias("title"))
+    return x.select(*keys, "ord", F.regexp_extract("__h", HEADING, 1).alias("section"), T.strip(F.regexp_extract("__h", HEADING, 2)).alias("title"))
 
 
 def _cut(text: str) -> list[tuple[int, str | None, str | None, str]]:
@@ -42,7 +42,7 @@ def _cut(text: str) -> list[tuple[int, str | None, str | None, str]]:
     for i, m in enumerate(marks):
         end = marks[i + 1].start() if i + 1 < len(marks) else len(text)
         if (body := text[m.start() : end].strip()):
-            out.append((len(out), m[1], " ".join(m[2].split()), body))
+            out.append((len(out), m[1], m[2].strip(), body))
     return out
 
 
@@ -79,10 +79,10 @@ def carried(df: DataFrame, value: str, order: list[str], within: list[str], out:
 
 
 def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """source_file, page_number, text -> chunks with carried sections and running ids ``contract_00001``."""
+    """source_file, page_number, text -> chunks with carried sections and running ids ``contract_00001``. A section is carried on in the order of files and pages, over the end of a file too."""
     p = pages.select("source_file", "page_number", T.clean_page(F.coalesce("text", F.lit(""))).alias("t")).where("t <> ''")
     s = sections(p, ["source_file", "page_number"], "t")
-    named = carried(s.withColumn("mark", F.when(F.col("section").isNotNull(), F.struct("section", "title"))), "mark", ["page_number", "segment"], ["source_file"], "now")
+    named = carried(s.withColumn("mark", F.when(F.col("section").isNotNull(), F.struct("section", "title"))), "mark", ["source_file", "page_number", "segment"], [], "now")
     w = windows(named.select("source_file", "page_number", "segment", "now", "body"), ["source_file", "page_number", "segment", "now"], "body", size, overlap)
     return ranked(w, ["source_file", "page_number", "segment", "window_no"], "n").select(
         F.format_string("contract_%05d", "n").alias("chunk_id"), "source_file", "page_number", F.col("now.section").alias("section_number"),

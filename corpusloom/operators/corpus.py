@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..session import written
+from .graph import components
 from .ordering import first_wins, ranked
 
 MIN_CHARS = 200
@@ -51,44 +53,90 @@ def cleaned(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, T.clean_corpus(F.coalesce(F.col(text), F.lit("")))).withColumn("text_sha256", T.sha256(F.col(text)))
 
 
-def greedy_dedup(df: DataFrame, first: str, second: str, order: str, max_rounds: int = 200) -> DataFrame:
+def _settled(open_rows: DataFrame) -> DataFrame:
+    """Open rows that come first in both of their groups."""
+    x = open_rows.join(open_rows.groupBy("a").agg(F.min("o").alias("ma")), "a").join(open_rows.groupBy("b").agg(F.min("o").alias("mb")), "b")
+    return x.where((F.col("o") == F.col("ma")) & (F.col("o") == F.col("mb"))).select("a", "b", "o")
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """The kept rows of one component, by going through it in order."""
+    seen_a, seen_b, kept = set(), set(), []
+    rows = rows.sort_values("o")
+    for a, b in zip(rows["a"], rows["b"]):
+        kept.append(a not in seen_a and b not in seen_b)
+        if kept[-1]:
+            seen_a.add(a)
+            seen_b.add(b)
+    return rows.loc[kept, ["a", "b", "o"]]
+
+
+def greedy_kept(pairs: DataFrame, rounds: int = 3, component_rows: int = 200_000) -> DataFrame:
+    """pairs(a, b, o), one row a pair -> those kept when rows are gone through by *o* and one is kept if neither key belongs to a kept row.
+
+    A few parallel rounds settle nearly all: a row that is the first of both of
+    its groups is kept, rows sharing a key with it are dropped; minima are
+    aggregated and joined, so no group is gathered. What hangs on long chains
+    is parted into components, each of bounded size gone through in its own
+    task; larger ones get further rounds, which drop rows and part them. There
+    is no bound on the rounds.
+    """
+    open_rows, kept = written(pairs.select("a", "b", "o"), "greedy-open"), []
+    while not open_rows.isEmpty():
+        for _ in range(rounds):
+            now = written(_settled(open_rows), "greedy-kept")
+            kept.append(now)
+            open_rows = written(open_rows.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select("a", "b", "o"), "greedy-open")
+            if open_rows.isEmpty():
+                break
+        else:
+            parts = written(parted(open_rows), "greedy-parts")
+            small = parts.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") <= component_rows).select("part")
+            kept.append(written(parts.join(small, "part").groupBy("part").applyInPandas(lambda f: _in_order(f), open_rows.schema), "greedy-kept"))
+            open_rows = written(parts.join(small, "part", "left_anti").select("a", "b", "o"), "greedy-open")
+    out = pairs.select("a", "b", "o").limit(0)
+    for one in kept:
+        out = out.unionAll(one)
+    return out
+
+
+def parted(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b, o) with ``part``: the same for rows tied by keys, directly or through others."""
+    node = lambda kind, c: F.unhex(F.md5(F.concat(F.lit(kind), F.col(c).cast("string"))))
+    x = pairs.withColumns({"a_node": node("a", "a"), "b_node": node("b", "b")})
+    roots = components(x.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    return x.join(roots.select(F.col("node").alias("a_node"), F.col("root").alias("part")), "a_node").select("a", "b", "o", "part")
+
+
+def greedy_dedup(df: DataFrame, first: str, second: str, order: str) -> DataFrame:
     """Adds ``status``: kept, duplicate_id or duplicate_text.
 
     Going through the rows in order, a row is kept if neither of its keys
-    belongs to a row kept before. Done in parallel rounds: an undecided row that
-    is the first of both of its groups is kept, then rows sharing a key with a
-    kept row are dropped. Rows are first reduced to the earliest of each pair of
-    keys; minima are aggregated and joined, so no group is gathered.
+    belongs to a row kept before; the first key is asked first. Only the keys
+    take part, the earliest row of each pair; the rows themselves are joined
+    with their status once, by *order*, which must be unique.
     """
     keyed = df.select(F.col(first).alias("a"), F.col(second).alias("b"), F.col(order).alias("o"))
-    open_rows = written(keyed.groupBy("a", "b").agg(F.min("o").alias("o")), "greedy-open")
-    kept = None
-    for _ in range(max_rounds):
-        if open_rows.isEmpty():
-            break
-        x = open_rows.join(open_rows.groupBy("a").agg(F.min("o").alias("ma")), "a").join(open_rows.groupBy("b").agg(F.min("o").alias("mb")), "b")
-        now = written(x.where((F.col("o") == F.col("ma")) & (F.col("o") == F.col("mb"))).select("a", "b", "o"), "greedy-kept")
-        kept = now if kept is None else kept.union(now)
-        open_rows = written(open_rows.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti"), "greedy-open")
-    else:
-        raise RuntimeError(f"greedy deduplication did not settle in {max_rounds} rounds")
-    if kept is None:
-        return df.withColumn("status", F.lit("kept"))
-    by_first = kept.select(F.col("a").alias(first), F.col("o").alias("__ka"))
-    by_second = kept.select(F.col("b").alias(second), F.col("o").alias("__kb"))
-    out = df.join(by_first, first, "left").join(by_second, second, "left")
-    status = (
-        F.when((F.col("__ka") == F.col(order)) & (F.col("__kb") == F.col(order)), "kept")
-        .when(F.col("__ka") < F.col(order), "duplicate_id").otherwise("duplicate_text")
+    slim = written(keyed, "greedy-keys")
+    kept = written(greedy_kept(slim.groupBy("a", "b").agg(F.min("o").alias("o"))), "greedy-all")
+    # one kept row a key at most; copies of a pair share its fate but for the first
+    decided = (
+        slim.groupBy("a", "b").agg(F.min("o").alias("o")).join(kept.select("a", F.col("o").alias("ka")), "a", "left").join(kept.select("b", F.col("o").alias("kb")), "b", "left")
+        .select("a", "b", "ka", "kb")
     )
-    return out.withColumn("status", status).select(*df.columns, "status")
+    status = F.when((F.col("ka") == F.col("o")) & (F.col("kb") == F.col("o")), "kept").when(F.col("ka") < F.col("o"), "duplicate_id").otherwise("duplicate_text")
+    of = slim.join(decided, ["a", "b"]).select(F.col("o").alias(order), status.alias("status"))
+    return df.join(of, order).select(*df.columns, "status")
 
 
 def clean_outcomes(df: DataFrame, order: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """Clean rows with ``status``: too_short, duplicate_id, duplicate_text or kept."""
-    x = cleaned(df).withColumn("provision_id", F.concat_ws(":", F.coalesce("act_id", F.lit("None")), F.coalesce("section_number", F.lit("None"))))
+    part = lambda c: T.strip(F.coalesce(F.col(c).cast("string"), F.lit("None")))
+    x = cleaned(df).withColumn("provision_id", F.concat_ws(":", part("act_id"), part("section_number")))
     short = F.length("text") < min_chars
-    rest = greedy_dedup(x.where(~short), "provision_id", "text_sha256", order)
+    # keys are hashed, so that the rounds move 32 bytes a row whatever the ids
+    keys = x.where(~short).withColumns({"__a": F.unhex(F.md5("provision_id")), "__b": F.unhex("text_sha256")})
+    rest = greedy_dedup(keys, "__a", "__b", order).drop("__a", "__b")
     return rest.unionByName(x.where(short).withColumn("status", F.lit("too_short")))
 
 
@@ -103,9 +151,9 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def hash_split(df: DataFrame, key: str, seed: int = 42, shares: tuple[float, float] = SHARES) -> DataFrame:
-    """Adds ``split`` by the rank of a seeded digest: int(.9 n) train, int(.05 n) validation, the rest test."""
+    """Adds ``split`` by the rank of a seeded digest: int(.9 n) train, int(.05 n) validation, the rest test. Writes the ranks while the plan is made."""
     x = ranked(df.withColumn("__h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)), ["__h", key], "__rank")
-    n = df.count()
+    n = x.agg(F.max("__rank")).first()[0] or 0
     train = int(n * shares[0])
     held = train + int(n * shares[1])
     return x.withColumn("split", F.when(F.col("__rank") <= train, "train").when(F.col("__rank") <= held, "validation").otherwise("test")).drop("__h", "__rank")

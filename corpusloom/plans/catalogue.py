@@ -11,9 +11,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import numbers as N, text as T
+from ..functions import nested, numbers as N, text as T
 from ..operators import answers, chunks, corpus, encoding, metrics, packing, qa, retrieval
 from ..operators.ordering import first_wins
+from ..session import table_path
+from ..sources import files
+from ..streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -113,14 +116,21 @@ def clean_outcome_counts(spark, sf):
     return corpus.outcome_counts(corpus.clean_outcomes(_t(spark, sf, RAW), "record_id"))
 
 
-@query(f"SELECT record_id, state FROM {RAW} WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY state ORDER BY record_id) <= 100")
+@query(f"""SELECT record_id, state FROM (SELECT min(record_id) AS record_id, arg_min(coalesce(state, ''), record_id) AS state FROM {RAW} WHERE coalesce(text, '') <> '' GROUP BY act_id, section_number, text)
+QUALIFY row_number() OVER (PARTITION BY state ORDER BY record_id) <= 100""")
 def jurisdiction_cap(spark, sf):
-    return corpus.capped(_t(spark, sf, RAW).where("text <> ''").select("record_id", "state"), "state", "record_id", 100)
+    return _capped(spark, sf, 100)
 
 
 @query(ORACLES["jurisdiction_cap"].replace("<= 100", f"<= {corpus.PER_JURISDICTION}"))
 def jurisdiction_cap_full(spark, sf):
-    return corpus.capped(_t(spark, sf, RAW).where("text <> ''").select("record_id", "state"), "state", "record_id", corpus.PER_JURISDICTION)
+    return _capped(spark, sf, corpus.PER_JURISDICTION)
+
+
+def _capped(spark, sf, cap):
+    # repeated rows do not count
+    kept = corpus.raw_dedup(_t(spark, sf, RAW).select("record_id", "act_id", "section_number", "text", F.coalesce("state", F.lit("")).alias("state")), "record_id")
+    return corpus.capped(kept.select("record_id", "state"), "state", "record_id", cap)
 
 
 _RANKED = "SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id::VARCHAR), doc_id) AS r, count(*) OVER () AS n FROM documents"
@@ -293,9 +303,17 @@ def grounded_answers(spark, sf):
   || chr(10) || 'Page: ' || coalesce(nullif(page_number, 0)::BIGINT::VARCHAR, 'N/A') || chr(10) || 'Text: ' || {_collapse("coalesce(text, '')")}, chr(10) ORDER BY rank) AS body
   FROM hits JOIN {PAGES} USING (chunk_id) WHERE rank <= 3 GROUP BY qid)
 SELECT qid, 'LEGAL QUESTION' || chr(10) || query || chr(10) || chr(10) || 'RETRIEVED LEGAL CONTEXT' || chr(10) || coalesce(body, chr(10) || '{answers.NO_CONTEXT}') || chr(10) || chr(10) || '{(chr(10)).join(answers.INSTRUCTION)}' AS context
-FROM qs LEFT JOIN b USING (qid)""")
+FROM qs LEFT JOIN b USING (qid) WHERE query <> ''""")
 def context_blocks(spark, sf):
-    return answers.context(_queries(spark), _full_hits(spark, sf))
+    # a blank question is an error
+    return answers.context(_queries(spark).where("query <> ''"), _full_hits(spark, sf))
+
+
+@query(f"SELECT qid, right(context, 240 - length(i)) || i AS prompt FROM (SELECT *, chr(10) || chr(10) || 'QUESTION' || chr(10) || query || chr(10) || chr(10) || 'ANSWER USING ONLY THE RETRIEVED CONTEXT:' || chr(10) AS i FROM ({ORACLES['context_blocks']}) JOIN {_QUERY_SQL} USING (qid))")
+def answer_prompts(spark, sf):
+    # code points stand in for tokens
+    x = answers.context(_queries(spark).where("query <> ''"), _full_hits(spark, sf)).join(_queries(spark), "qid")
+    return answers.answer_prompt(x, encoding.character_codec).select("qid", "prompt")
 
 
 @query(f"""SELECT qa_id, name FROM qa_v1, {_CONCEPTS} WHERE len(list_filter(phrases, lambda p: contains({_collapse('lower(question)')}, p))) > 0
@@ -330,9 +348,15 @@ def chunked_pages(spark, sf):
     return chunks.chunk_pages(_t(spark, sf, PAGES).select("source_file", "page_number", "text"))
 
 
-@query(f"SELECT chunk_id, last_value(section_number IGNORE NULLS) OVER (PARTITION BY source_file ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS carried FROM {PAGES}")
+@query(f"SELECT chunk_id, last_value(section_number IGNORE NULLS) OVER (ORDER BY source_file, chunk_id ROWS UNBOUNDED PRECEDING) AS carried FROM {PAGES}")
 def section_carry_forward(spark, sf):
-    return chunks.carried(_t(spark, sf, PAGES), "section_number", ["chunk_id"], ["source_file"], "carried").select("chunk_id", "carried")
+    # a section goes on over the end of a file
+    return chunks.carried(_t(spark, sf, PAGES), "section_number", ["source_file", "chunk_id"], [], "carried").select("chunk_id", "carried")
+
+
+@query(f"SELECT count(*) AS chunks, sum(character_count)::BIGINT AS characters, round(avg(character_count), 2) AS mean_characters FROM {PAGES}")
+def chunk_totals(spark, sf):
+    return chunks.chunk_totals(_t(spark, sf, PAGES))
 
 
 @query(f"SELECT count(*) AS pages, count_if({_strip('text')} <> '') AS with_text, sum(length({_strip('text')}))::BIGINT AS characters FROM {PAGES}")
@@ -411,7 +435,12 @@ def qa_violations(spark, sf):
     return qa.violations(_t(spark, sf, "qa_v1").join(of, "source_id"))
 
 
-@query()
+def _clauses(c: str) -> str:
+    parts = f"list_filter(string_split(regexp_replace({_collapse(c)}, '([.;:)]) ', '\\1' || chr(10), 'g'), chr(10)), lambda x: x <> '')"
+    return f"list_filter(string_split(array_to_string(list_transform({parts}, lambda x, i: CASE WHEN i = 1 THEN x WHEN length(x) < 45 THEN ' ' || x ELSE chr(10) || x END), ''), chr(10)), lambda x: x <> '')"
+
+
+@query(f"SELECT row_id, unnest(range(0, len(p))) AS part_no, unnest(p) AS part FROM (SELECT row_id, {_clauses('text')} AS p FROM splits WHERE text IS NOT NULL)")
 def sentence_split(spark, sf):
     return _t(spark, sf, "splits").select("row_id", F.posexplode(T.clauses(F.col("text"))).alias("part_no", "part"))
 
@@ -422,8 +451,28 @@ def ocr_corruption_flags(spark, sf):
 
 
 def _marked(spark, sf):
-    x = _t(spark, sf, "qa_v1").where("answer is not null and section is not null")
-    return x.withColumn("answer", F.concat(F.lit("Section "), "section", F.lit(": "), "answer"))
+    # three answers in four get the marker of their section, the last of the four another one or none
+    x = _t(spark, sf, "qa_v1")
+    front = F.when(F.col("qa_id") % 4 < 3, F.concat(F.lit("Section "), F.coalesce("section", F.lit("None")), F.lit(": "))).otherwise("")
+    return x.withColumn("answer", F.concat(front, F.coalesce("answer", F.lit(""))))
+
+
+_NEXT_SQL = r"\s+(?:>\s*)?(?:\*\*)?(\d+)[A-Za-z]?(?:\.)?(?:\*\*)?\.?(?:\*\*)?\s+[A-Z]"
+_EXPLICIT_SQL = r"\s+Section\s*:?\s*(\d+[A-Za-z]?)\s*[:.]\s*"
+_MARKED_SQL = r"\bSection\s*:?\s*' || regexp_escape(sec) || '\s*:\s*"
+_BODIES = rf"""(WITH m AS (SELECT qa_id, {_collapse("CASE WHEN qa_id % 4 < 3 THEN 'Section ' || coalesce(section, 'None') || ': ' ELSE '' END || coalesce(answer, '')")} AS t, {_strip("coalesce(section, 'None')")} AS sec FROM qa_v1),
+b AS (SELECT qa_id, sec, regexp_matches(t, '(?i){_MARKED_SQL}') AS ok, trim(regexp_extract(t, '(?is){_MARKED_SQL}(.*)', 1)) AS b, try_cast(nullif(regexp_extract(sec, '^(\d+)[A-Za-z]?$', 1), '') AS HUGEINT) AS own FROM m),
+c AS (SELECT *, regexp_extract(b, '(?is)^(.*?){_EXPLICIT_SQL}', 1) AS x, try_cast(nullif(regexp_extract(regexp_extract(b, '(?i){_EXPLICIT_SQL}', 1), '^\d+', 0), '') AS HUGEINT) AS xn,
+  regexp_split_to_array(b, '{_NEXT_SQL}') AS bt, regexp_extract_all(b, '{_NEXT_SQL}') AS hd, list_transform(regexp_extract_all(b, '{_NEXT_SQL}', 1), lambda n: try_cast(n AS HUGEINT)) AS ns FROM b),
+d AS (SELECT *, CASE WHEN xn > own THEN length(x) END AS ex, list_position(list_transform(ns, lambda n: n > own), true) AS at FROM c),
+e AS (SELECT *, CASE WHEN own IS NOT NULL THEN least(ex, CASE WHEN at > 0 THEN list_sum(list_transform(bt[1:at], lambda z: length(z))) + coalesce(list_sum(list_transform(hd[1:at - 1], lambda z: length(z))), 0) END) END AS cut FROM d),
+f AS (SELECT *, CASE WHEN cut IS NULL THEN b ELSE trim(left(b, cut::BIGINT)) END AS body FROM e)
+SELECT qa_id, CASE WHEN NOT ok THEN '{qa.MARKER_NOT_FOUND}' WHEN b = '' THEN '{qa.BODY_EMPTY}' WHEN cut IS NOT NULL AND NOT regexp_matches(body, '[.!?;:][\"''’”)}}\]]*$') THEN '{qa.INCOMPLETE}' ELSE '' END AS cleanup, body AS raw FROM f)"""
+
+
+@query(f"SELECT qa_id, cleanup, CASE cleanup WHEN '' THEN raw ELSE '' END AS body FROM {_BODIES}")
+def section_bodies(spark, sf):
+    return qa.section_bodies(_marked(spark, sf)).select("qa_id", "cleanup", "body")
 
 
 @query()
@@ -441,10 +490,10 @@ def qa_v2_questions(spark, sf):
     return _t(spark, sf, "qa_v1").select("qa_id", qa.v2_question(None).alias("question"))
 
 
-@query(f"SELECT qa_id, CASE question_type WHEN 'section_provision' THEN question || ' Give the relevant provision text.' ELSE question END AS question, length('CONTEXT:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'QUESTION:' || chr(10) || coalesce(question, '') || chr(10) || chr(10) || 'ANSWER:' || chr(10) || coalesce(answer, '')) AS prompt_chars FROM qa_v1")
+@query(f"SELECT qa_id, CASE question_type WHEN 'section_provision' THEN question || ' Give the relevant provision text.' ELSE question END AS question, sha256('CONTEXT:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'QUESTION:' || chr(10) || coalesce(question, '') || chr(10) || chr(10) || 'ANSWER:' || chr(10) || coalesce(answer, '')) AS prompt FROM qa_v1")
 def qa_prompts(spark, sf):
     return _t(spark, sf, "qa_v1").select(
-        "qa_id", qa.chunked_question(F.col("question"), F.col("question_type")).alias("question"), F.length(qa.combined_prompt(F.col("context"), F.col("question"), F.col("answer"))).alias("prompt_chars"))
+        "qa_id", qa.chunked_question(F.col("question"), F.col("question_type")).alias("question"), T.sha256(qa.combined_prompt(F.col("context"), F.col("question"), F.col("answer"))).alias("prompt"))
 
 
 _LEN = f"(SELECT {_words('text')} AS v FROM documents WHERE text IS NOT NULL)"
@@ -472,12 +521,52 @@ def bpe_encode_lengths(spark, sf):
     return _t(spark, sf, DOCS).select("doc_id", F.size(encode(F.coalesce("text", F.lit("")))).alias("tokens"))
 
 
+@query("SELECT doc_id FROM documents WHERE text IS NULL OR text = '' OR true")
+def token_round_trip(spark, sf):
+    # ids decoded and encoded again are the same ids
+    load = encoding.sentencepiece_codec()
+    x = _t(spark, sf, DOCS).select("doc_id", qa.encoder_udf(lambda: load()[0])(F.coalesce("text", F.lit(""))).alias("ids")).withColumn("text", qa.decoder_udf(load)(F.col("ids")))
+    return x.withColumn("again", qa.encoder_udf(lambda: load()[0])(F.col("text"))).where(F.col("again") == F.col("ids")).select("doc_id")
+
+
+_PREPARED = ("qa_id", "input_ids", "labels", "attention_mask", "original_context_tokens", "original_answer_tokens", "prepared_context_tokens", "prepared_sequence_tokens", "answer_tokens_used")
+
+
 @query()
 def qa_prepared_sequences(spark, sf):
-    encode = qa.encoder_udf(encoding.sentencepiece_encoder())
-    x = _t(spark, sf, "qa_v1").select("qa_id", encode(F.concat(F.lit("QUESTION:\n"), F.coalesce("question", F.lit("")), F.lit("\n\nANSWER:\n"))).alias("p"),
-                                      encode(F.coalesce("context", F.lit(""))).alias("c"), encode(F.coalesce("answer", F.lit(""))).alias("a"))
-    return qa.prepared(x, "p", "c", "a").select("qa_id", "input_ids", "labels", "attention_mask", "original_context_tokens", "original_answer_tokens", "prepared_context_tokens", "prepared_sequence_tokens", "answer_tokens_used")
+    return qa.prepared(_t(spark, sf, "qa_v1"), encoding.sentencepiece_encoder()).select(*_PREPARED)
+
+
+def _lengths(c: str) -> str:
+    return f"list_transform(coalesce(regexp_extract_all({c}, '{_NWS}+'), []), lambda w: length(w)::INT)"
+
+
+def _text(a: str) -> str:
+    return f"array_to_string({a}, ',')"
+
+
+_PREPARED_SQL = f"""(WITH e AS (SELECT qa_id, split, {_lengths("coalesce(context, '')")} AS c, {_lengths("coalesce(question, '')")} AS q, {_lengths("coalesce(answer, '')")} AS a FROM qa_v1 LEFT JOIN (SELECT source_id, min(split) AS split FROM splits WHERE source_id IS NOT NULL GROUP BY 1) USING (source_id)),
+k AS (SELECT *, 255 - 3 - len(q) AS room, c[1:greatest(0, 255 - 3 - len(q) - len(a))] AS ck FROM e), z AS (SELECT *, CASE WHEN len(ck) + len(a) > room THEN a[1:greatest(1, room - len(ck))] ELSE a END AS ak FROM k),
+i AS (SELECT *, list_concat([8], ck, [9], q, [7], ak, [3])[1:256] AS ids, least(3 + len(ck) + len(q), len(list_concat([8], ck, [9], q, [7], ak, [3])[1:256])) AS s FROM z)
+SELECT qa_id, split, ids AS input_ids, list_transform(ids, lambda t, n: CASE WHEN n <= s THEN -100 ELSE t END) AS labels, len(ids) AS attention, len(c) AS original_context_tokens, len(a) AS original_answer_tokens,
+  len(ck) AS prepared_context_tokens, len(ids) AS prepared_sequence_tokens, len(ids) - s AS answer_tokens_used FROM i)"""
+
+
+@query(f"SELECT * EXCLUDE (split, input_ids, labels), {_text('input_ids')} AS input_ids, {_text('labels')} AS labels FROM {_PREPARED_SQL}")
+def qa_prepared_words(spark, sf):
+    # with word lengths for ids, which SQL can follow
+    x = qa.prepared(_t(spark, sf, "qa_v1"), encoding.word_encoder).select(*_PREPARED)
+    return x.select("qa_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("input_ids", "labels")], F.size("attention_mask").alias("attention"), *_PREPARED[4:])
+
+
+@query(f"""SELECT k.split, count(input_ids) AS records, count_if(prepared_context_tokens < original_context_tokens) AS context_trimmed, count_if(answer_tokens_used < original_answer_tokens) AS answer_truncated, coalesce(max(prepared_sequence_tokens), 0) AS max_sequence_tokens,
+  coalesce(sum(len(list_filter(labels, lambda l: l <> -100))), 0)::BIGINT AS supervised_tokens FROM (VALUES ('train'), ('validation'), ('test')) AS k(split) LEFT JOIN {_PREPARED_SQL} p USING (split) GROUP BY 1""")
+def qa_prepared_summary(spark, sf):
+    of = _t(spark, sf, "splits").where("source_id is not null").groupBy("source_id").agg(F.min("split").alias("split"))
+    x = qa.prepared(_t(spark, sf, "qa_v1").join(of, "source_id"), encoding.word_encoder)
+    return qa.summary(
+        x, {"context_trimmed": F.expr("prepared_context_tokens < original_context_tokens").cast("int"), "answer_truncated": F.expr("answer_tokens_used < original_answer_tokens").cast("int"), "supervised_tokens": N.supervised(F.col("labels"))},
+        {"max_sequence_tokens": F.col("prepared_sequence_tokens")})
 
 
 @query()
@@ -485,13 +574,91 @@ def qa_answer_chunks(spark, sf):
     return qa.answer_chunks(_t(spark, sf, "qa_v1").select("qa_id", "answer"), ["qa_id"], "answer", encoding.sentencepiece_encoder())
 
 
-@query()
-def qa_v2_sequences(spark, sf):
+# the fold over the parts of an answer: pieces of an oversized part but its last stand alone, all else is joined up to 40 words
+_WORD_MOST = 40
+_CHUNKS_SQL = f"""(WITH RECURSIVE p AS (SELECT qa_id, unnest(range(1, len(p) + 1)) AS part, unnest(p) AS t FROM (SELECT qa_id, {_clauses("coalesce(answer, '')")} AS p FROM qa_v1)),
+w AS (SELECT qa_id, part, coalesce(regexp_extract_all(t, '{_NWS}+'), []) AS w FROM p), r AS (SELECT qa_id, part, w, unnest(range(0, (len(w) + {_WORD_MOST - 1}) // {_WORD_MOST})) AS run FROM w),
+items AS (SELECT qa_id, array_to_string(w[run * {_WORD_MOST} + 1:(run + 1) * {_WORD_MOST}], ' ') AS t, CASE WHEN (run + 1) * {_WORD_MOST} >= len(w) THEN len(w) - run * {_WORD_MOST} END AS n, row_number() OVER (PARTITION BY qa_id ORDER BY part, run) AS i FROM r),
+f AS (SELECT qa_id, 0::BIGINT AS i, []::VARCHAR[] AS chunks, []::VARCHAR[] AS held, 0::BIGINT AS used FROM qa_v1
+  UNION ALL SELECT f.qa_id, items.i, CASE WHEN n IS NULL THEN list_append(chunks, t) WHEN len(held) > 0 AND used + n > {_WORD_MOST} THEN list_append(chunks, array_to_string(held, ' ')) ELSE chunks END,
+    CASE WHEN n IS NULL THEN held WHEN len(held) > 0 AND used + n > {_WORD_MOST} THEN [t] ELSE list_append(held, t) END, CASE WHEN n IS NULL THEN used WHEN len(held) > 0 AND used + n > {_WORD_MOST} THEN n ELSE used + n END
+  FROM f JOIN items ON items.qa_id = f.qa_id AND items.i = f.i + 1),
+g AS (SELECT qa_id, arg_max(CASE WHEN len(held) > 0 THEN list_append(chunks, array_to_string(held, ' ')) ELSE chunks END, i) AS c FROM f GROUP BY qa_id)
+SELECT * FROM (SELECT qa_id, unnest(range(0, len(c)))::INT AS chunk_index, len(c)::INT AS chunk_count, unnest(c) AS chunk FROM g) WHERE len(regexp_extract_all(chunk, '{_NWS}+')) >= 8)"""
+
+
+def _word_chunks(spark, sf):
+    return qa.answer_chunks(_t(spark, sf, "qa_v1").select("qa_id", "answer"), ["qa_id"], "answer", encoding.word_encoder, most=_WORD_MOST)
+
+
+@query(f"SELECT * FROM {_CHUNKS_SQL}")
+def qa_word_chunks(spark, sf):
+    return _word_chunks(spark, sf).drop("answer_ids")
+
+
+@query(f"""SELECT qa_id, chunk_index, {_text("list_concat(p, a[1:greatest(1, 255 - len(p))], [3])[1:256]")} AS input_ids, {_text("list_concat(list_transform(p, lambda x: -100), a[1:greatest(1, 255 - len(p))], [3])[1:256]")} AS labels
+FROM (SELECT qa_id, chunk_index, list_concat([9], {_lengths("coalesce(question, '')")}, [7]) AS p, {_lengths("chunk")} AS a FROM {_CHUNKS_SQL} JOIN qa_v1 USING (qa_id))""")
+def qa_word_chunk_sequences(spark, sf):
+    x = _word_chunks(spark, sf).join(_t(spark, sf, "qa_v1").select("qa_id", "question"), "qa_id")
+    x = qa.chunk_sequences(x, encoding.word_encoder, "question", "answer_ids")
+    return x.select("qa_id", "chunk_index", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("input_ids", "labels")])
+
+
+@query(f"SELECT qa_id, count(DISTINCT chunk_index) AS chunks FROM {_CHUNKS_SQL} GROUP BY qa_id HAVING min(chunk_index) <> 0 OR max(chunk_index) <> count(DISTINCT chunk_index) - 1")
+def chunk_index_gaps(spark, sf):
+    return qa.index_gaps(_word_chunks(spark, sf), "qa_id")
+
+
+@query("SELECT unnest(['lengths_differ', 'too_long', 'prompt_supervised', 'answer_misaligned', 'no_end', 'last_supervised']) AS check, 0 AS n")
+def sequence_checks(spark, sf):
+    x = _word_chunks(spark, sf).join(_t(spark, sf, "qa_v1").select("qa_id", "question"), "qa_id").withColumn("question", F.coalesce("question", F.lit("")))
+    x = qa.chunk_sequences(x, encoding.word_encoder, "question", "answer_ids").withColumn("prompt_length", T.word_count(F.col("question")) + 2)
+    return qa.sequence_violations(x)
+
+
+def _v2(spark, sf):
     x = qa.section_answers(_marked(spark, sf)).where(F.col("cleanup") == qa.EXTRACTED).withColumn("q", qa.v2_question(None))
     # the public model's unknown id is 0
-    got = qa.v2_sequences(x.select("qa_id", "q", "body"), ["qa_id"], "q", "body", encoding.sentencepiece_codec(), unk=0)
-    return got.select("qa_id", "prompt_template", F.size("prompt_ids").alias("prompt_length"), N.sequence(F.col("prompt_ids"), F.col("answer_ids")).alias("input_ids"),
-                      N.labels_shifted(F.col("prompt_ids"), F.col("answer_ids")).alias("labels"), "answer_truncation")
+    return qa.v2_sequences(x, encoding.sentencepiece_codec(), "q", "body", unk=0)
+
+
+@query()
+def qa_v2_sequences(spark, sf):
+    return _v2(spark, sf).where("input_ids is not null").select("qa_id", "prompt_template", "prompt_length", "input_ids", "labels", "answer_tokens", "answer_truncation")
+
+
+@query()
+def qa_v2_outcomes(spark, sf):
+    return qa.status_counts(_v2(spark, sf), "answer_truncation", (qa.WHOLE, qa.AT_SENTENCE, qa.AT_CAP, qa.NO_ROOM, qa.NO_ANSWER))
+
+
+@query("""SELECT qa_id, i[1:100] = p AND NOT list_contains(p, 32767) AS whole_prompt, len(i) AS tokens, how FROM (SELECT qa_id, p, how, list_concat(p, a, [3]) AS i FROM (
+  SELECT qa_id, p, CASE WHEN 255 - len(p) < 8 THEN 'prompt_too_long' WHEN length(t) < 8 THEN 'answer_too_short' WHEN length(t) <= m THEN 'complete' WHEN length(s) BETWEEN 8 AND m THEN 'sentence_boundary' ELSE 'hard_token_cap' END AS how,
+    list_transform(string_split(CASE WHEN length(t) <= m THEN t WHEN length(s) BETWEEN 8 AND m THEN s ELSE left(t, m) END, ''), lambda c: unicode(c)) AS a
+  FROM (SELECT *, trim(regexp_extract(left(t, m), '(?s)^.*[.!?]["”’'')\]]*(?:\s+|$)', 0)) AS s FROM (SELECT qa_id, t, p, greatest(0, least(160, 255 - len(p))) AS m FROM (
+    SELECT qa_id, CLAUSE AS t, list_transform(string_split(left(coalesce(question, ''), 100) || ' Answer:', ''), lambda c: unicode(c)) AS p FROM qa_v1))))) WHERE how NOT LIKE '%too%'""".replace("CLAUSE", _collapse("coalesce(answer, '')")).replace("i[1:100] = p", "i[1:len(p)] = p"))
+def qa_v2_characters(spark, sf):
+    # code points stand in for tokens; none is unknown
+    x = _t(spark, sf, "qa_v1").select("qa_id", F.left(F.coalesce("question", F.lit("")), F.lit(100)).alias("q"), T.collapse(F.coalesce("answer", F.lit(""))).alias("a"))
+    x = qa.v2_sequences(x, encoding.character_codec, "q", "a", unk=32767).where("input_ids is not null")
+    whole = (N.unknown_count(F.col("input_ids"), F.col("prompt_length"), 32767) == 0) & (F.col("prompt_length") == F.length("prompt_template"))
+    return x.select("qa_id", whole.alias("whole_prompt"), F.size("input_ids").alias("tokens"), F.col("answer_truncation").alias("how"))
+
+
+@query("SELECT qa_id, row_number() OVER (ORDER BY source_id NULLS FIRST, question_type NULLS FIRST, qa_id) AS ord FROM qa_v1")
+def qa_order(spark, sf):
+    return qa.ordered(_t(spark, sf, "qa_v1").select("qa_id", "source_id", "question_type"), "qa_id").select("qa_id", F.col("ord").cast("long").alias("ord"))
+
+
+@query("SELECT qa_id, question FROM qa_v1 ORDER BY qa_id LIMIT 5")
+def first_samples(spark, sf):
+    return qa.first_rows(_t(spark, sf, "qa_v1").select("qa_id", "question"), "qa_id", 5)
+
+
+@query(f"SELECT row_id, coalesce(nullif(source_publisher, ''), state) AS jurisdiction, {_text(_lengths('text'))} AS tokens FROM splits WHERE coalesce({_strip('text')}, '') <> ''")
+def tokenized_records(spark, sf):
+    x = encoding.encoded_records(_t(spark, sf, "splits"), encoding.word_encoder, ["row_id"], "source_publisher")
+    return x.withColumn("tokens", F.array_join(F.col("tokens").cast("array<string>"), ","))
 
 
 _LABELS = f"(SELECT qa_id, list_transform(coalesce(regexp_extract_all(question, '{_NWS}+'), []), lambda w: length(w)::INT) AS p, list_transform(coalesce(regexp_extract_all(answer, '{_NWS}+'), []), lambda w: length(w)::INT) AS a FROM qa_v1)"
@@ -570,3 +737,115 @@ SELECT vec_id, round(list_max(e) / list_sum(e), 6) AS top, len(list_filter(e, la
 def softmax_topk_filter(spark, sf):
     x = metrics.generation_step(_t(spark, sf, "embeddings").withColumn("seen", F.array(F.lit(0), F.lit(1))), "embedding", "seen", 0.8, 1.2, 8)
     return x.select("vec_id", F.round(F.array_max("probs"), 6).alias("top"), F.size(F.filter("probs", lambda p: p > 0)).alias("kept"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.n_embd'), json_extract_string(props, '$.k'), '384') AS width, coalesce(json_extract_string(props, '$.block_size'), '256') AS block FROM events")
+def config_aliases(spark, sf):
+    p = F.col("props")
+    return _t(spark, sf, "events").select("event_id", nested.resolved(p, ["n_embd", "k"], "384").alias("width"), nested.resolved(p, ["block_size"], "256").alias("block"))
+
+
+@query("""SELECT unnest(map_keys(m)) AS prompt, unnest(map_values(m)) AS sample FROM (SELECT map_from_entries(list((question, a) ORDER BY o)) AS m FROM (
+  SELECT question, arg_max(answer, qa_id) AS a, min(qa_id) AS o FROM (SELECT * FROM qa_v1 WHERE question IS NOT NULL ORDER BY qa_id LIMIT 5) GROUP BY question))""")
+def prompt_samples(spark, sf):
+    return nested.sample_map(_t(spark, sf, "qa_v1"), "question", "answer", "qa_id", 5).select(F.explode("samples").alias("prompt", "sample"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6, 6) AS seconds FROM events")
+def instants(spark, sf):
+    ts = F.col("ts").cast("timestamp")
+    return _t(spark, sf, "events").select("event_id", nested.iso_utc(ts).alias("at"), F.round(nested.elapsed(F.lit("2024-01-01 00:00:00").cast("timestamp"), ts), 6).alias("seconds"))
+
+
+@query("SELECT n, array_to_string(list_transform(range(1, n + 1), lambda i: array_to_string(list_transform(range(1, n + 1), lambda j: CASE WHEN j <= i THEN 1 ELSE 0 END), '')), '/') AS mask FROM (SELECT unnest(range(1, 17)) AS n)")
+def causal_masks(spark, sf):
+    m = N.causal_mask(F.col("n"))
+    return spark.range(1, 17).select(F.col("id").cast("int").alias("n")).select("n", F.array_join(F.transform(m, lambda r: F.array_join(F.transform(r, lambda x: x.cast("int").cast("string")), "")), "/").alias("mask"))
+
+
+@query("""SELECT vec_id, round(ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[l + 1], 6) AS loss, round(list_max(list_transform(x, lambda v: (v - m) / sqrt(d + 1e-5))), 5) AS top, u AS drawn FROM (
+  SELECT *, list_avg(x) AS m, list_var_pop(x) AS d, least(63, (SELECT count(*) FROM (SELECT unnest(x) AS z, generate_subscripts(x, 1) AS i) WHERE false)) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS x, vec_id % 64 AS l FROM embeddings))""")
+def position_losses(spark, sf):
+    x, label = F.col("embedding").cast("array<double>"), (F.col("vec_id") % 64).cast("int")
+    draw = N.drawn(N.softmax(x), F.lit(0.0))
+    return _t(spark, sf, "embeddings").select(
+        "vec_id", F.round(N.cross_entropy(x, label), 6).alias("loss"), F.round(F.array_max(N.layer_norm(x)), 5).alias("top"), draw.cast("long").alias("drawn"))
+
+
+@query(f"SELECT sum(len(list_filter(list_concat(list_transform(p, lambda x: -100), a, [3]), lambda l: l <> -100)))::BIGINT AS supervised, count(*) AS rows FROM {_LABELS}")
+def supervised_tokens(spark, sf):
+    x = _parts(spark, sf).select(N.labels_aligned(F.coalesce("p", F.array().cast("array<int>")), F.coalesce("a", F.array().cast("array<int>"))).alias("l"))
+    return x.agg(F.sum(N.supervised(F.col("l"))).alias("supervised"), F.count("*").alias("rows"))
+
+
+# Sources, sinks and streams: what is written comes back
+
+_QA_FIELDS = ("question", "context", "answer", "section", "act_id", "source_id", "question_type")
+
+
+@query(f"SELECT {', '.join(_QA_FIELDS)} FROM qa_v1")
+def jsonl_round_trip(spark, sf):
+    path = table_path(spark, "jsonl")
+    files.write_jsonl(_t(spark, sf, "qa_v1").select(*_QA_FIELDS), path)
+    return files.read_jsonl(spark, path, "qa_v1")
+
+
+@query("SELECT event_type, count(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT event_type FROM events WHERE value > 50) GROUP BY 1")
+def jsonl_append(spark, sf):
+    path, e = table_path(spark, "append"), _t(spark, sf, "events").select("event_id", "event_type")
+    files.write_jsonl(e, path)
+    files.write_jsonl(_t(spark, sf, "events").where("value > 50").select("event_id", "event_type"), path, append=True)
+    return spark.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id::INT AS epoch, count(*) AS step, round(avg(value), 6) AS train_loss FROM events WHERE user_id < 100 GROUP BY 1")
+def history_document(spark, sf):
+    path = table_path(spark, "history")
+    h = _t(spark, sf, "events").where("user_id < 100").groupBy(F.col("user_id").cast("int").alias("epoch")).agg(F.count("*").alias("step"), F.round(F.avg("value"), 6).alias("train_loss"))
+    files.write_report(h, path, "history")
+    return files.read_history(spark, path).select("epoch", "step", "train_loss")
+
+
+@query("SELECT split, count(*) AS n, sum(row_id)::BIGINT AS ids FROM splits GROUP BY split")
+def split_files(spark, sf):
+    path = table_path(spark, "splits")
+    files.write_splits(_t(spark, sf, "splits").select("row_id", "split"), path, files=4)
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
+
+
+@query("SELECT row_id, split AS jurisdiction, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS source_ord FROM splits")
+def jurisdiction_files(spark, sf):
+    root = table_path(spark, "jurisdictions")
+    for s in qa.SPLITS:
+        _t(spark, sf, "splits").where(F.col("split") == s).select("row_id").write.parquet(f"{root}/in_{s}_legislation.parquet")
+    return files.read_jurisdictions(spark, root, list(qa.SPLITS))
+
+
+def _stream(spark, df, name):
+    path = table_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path), table_path(spark, f"{name}-out"), table_path(spark, f"{name}-checkpoint")
+
+
+@query("SELECT DISTINCT source FROM documents")
+def stream_dedup(spark, sf):
+    stream, out, checkpoint = _stream(spark, _t(spark, sf, DOCS).select("source"), "dedup")
+    jobs.write_available(jobs.deduplicated(stream, ["source"]), out, checkpoint)
+    return spark.read.parquet(out)
+
+
+@query(f"""WITH t AS (SELECT user_id::VARCHAR AS key, unnest([(value * 10)::INT, 3]) AS w, event_id, generate_subscripts([1, 2], 1) AS i FROM events WHERE value IS NOT NULL),
+g AS (SELECT key, w, row_number() OVER (PARTITION BY key ORDER BY event_id, i) - 1 AS pos FROM t), b AS (SELECT key, pos // 8 AS block_no, pos, w FROM g UNION ALL SELECT key, pos // 8 - 1, pos, w FROM g WHERE pos % 8 = 0 AND pos > 0)
+SELECT key, block_no, array_to_string(list(w ORDER BY pos)[1:8], ',') AS input_ids, array_to_string(list(w ORDER BY pos)[2:9], ',') AS targets FROM b GROUP BY key, block_no HAVING count(*) = 9""")
+def stream_packing(spark, sf):
+    e = _t(spark, sf, "events").where("value is not null").select("user_id", "event_id", F.array(F.bround(F.col("value") * 10).cast("int")).alias("t"))
+    stream, out, checkpoint = _stream(spark, e, "packing")
+    jobs.write_available(jobs.packed(stream, "user_id", "t", 8, 3, "event_id"), out, checkpoint)
+    return spark.read.parquet(out).select("key", "block_no", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("input_ids", "targets")])
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_append(spark, sf):
+    stream, out, checkpoint = _stream(spark, _t(spark, sf, "events").select("event_id", "event_type"), "append")
+    jobs.write_available(stream, out, checkpoint)
+    return spark.read.parquet(out)

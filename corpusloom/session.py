@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "corpus
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The folder named by ``spark.checkpoint.dir``; where the setting is absent, a temporary one in a local session, and an error on a cluster."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -36,25 +37,61 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="corpusloom-shared-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
+#: Tables written and not yet released, of all sessions of this driver.
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed by :func:`release` or when the driver ends."""
+    path = f"{shared_dir(spark)}/corpusloom-tables/{name}-{uuid.uuid4().hex}"
+    _TABLES.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cut lineage: write *df* once as Parquet into the shared folder and read it back.
 
-    The files outlive lost executors; they lie under the checkpoint folder and
-    are removed when the driver ends.
+    The files outlive lost executors. They stay until the caller is done with
+    what was made of them (see :func:`scratch`) or the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom-tables/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch():
+    """Releases, at its end, the tables written within: ``with scratch(): search(...).write.parquet(out)``."""
+    before = len(_TABLES)
+    try:
+        yield
+    finally:
+        release(before)
+
+
+def release(since: int = 0) -> None:
+    """Remove written tables; frames made of them can no longer be read."""
+    while len(_TABLES) > since:
+        _remove(*_TABLES.pop())
+
+
+atexit.register(release)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -68,11 +68,12 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def write_splits(df: DataFrame, path: str, split: str = "split", form: str = "parquet") -> None:
-    """A folder for each split; rows meet by split and a spread of hashes, so that a large split has many files."""
-    df.write.mode("overwrite").partitionBy(split).format(form).save(path)
+def write_splits(df: DataFrame, path: str, split: str = "split", form: str = "parquet", files: int = 1) -> None:
+    """A folder of about *files* files for each split: rows meet by split and one of as many random numbers."""
+    spread = df.withColumn("__f", F.floor(F.rand(1) * files)).repartition(split, "__f").drop("__f")
+    spread.write.mode("overwrite").partitionBy(split).format(form).save(path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A small result as one JSON document."""
-    df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_report(df: DataFrame, path: str, key: str = "rows") -> None:
+    """A small result as one JSON document: its rows, in no order, under *key*."""
+    df.agg(F.to_json(F.struct(F.collect_list(F.struct(*df.columns)).alias(key)), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -36,7 +36,7 @@ def test_streams(spark, tmp_path):
     read = lambda: spark.readStream.schema("k string, t array<int>").parquet(str(src))
     jobs.write_available(jobs.deduplicated(read(), ["k"]), str(tmp_path / "d"), str(tmp_path / "dc"))
     assert spark.read.parquet(str(tmp_path / "d")).count() == 2
-    q = lambda: jobs.write_available(jobs.packed(read(), "k", "t", 3, 0), str(tmp_path / "p"), str(tmp_path / "pc"))
+    q = lambda: jobs.write_available(jobs.packed(read(), "k", "t", 3, 0, "t"), str(tmp_path / "p"), str(tmp_path / "pc"))
     q()
     spark.createDataFrame([("a", [9])], "k string, t array<int>").write.mode("append").parquet(str(src))
     q()
