@@ -12,6 +12,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pinned(c: Column) -> Column:
+    """The column itself, but a filter on it stays above: it is not rewritten over the column's whole definition, which would be reckoned for the filter once more."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def perplexity(loss: Column, cap: float | None = 20.0) -> Column:
     """exp of the loss, cut at *cap*."""
     return F.exp(F.least(loss, F.lit(cap)) if cap is not None else loss)

@@ -106,12 +106,27 @@ def text_dedup_first_wins(spark, sf):
     return first_wins(x, ["text"], "doc_id")
 
 
-@query()
+def _key(c: str) -> str:
+    return _strip(f"coalesce({c}, 'None')")
+
+
+# rounds: a row that is the first of both its groups is kept, those that share a key with it go
+_GREEDY = f"""(WITH RECURSIVE k AS (SELECT record_id AS o, source_url, length(t) < 200 AS short, {_key("act_id")} || ':' || {_key("section_number")} AS a, sha256(t) AS b FROM (SELECT *, {_clean('text')} AS t FROM {RAW})),
+r AS (SELECT a, b, min(o) AS o, 0 AS kept FROM k WHERE NOT short GROUP BY a, b
+  UNION ALL SELECT a, b, o, now AS kept FROM (SELECT *, max(now) OVER (PARTITION BY a) AS na, max(now) OVER (PARTITION BY b) AS nb FROM (
+    SELECT a, b, o, CASE WHEN o = min(o) OVER (PARTITION BY a) AND o = min(o) OVER (PARTITION BY b) THEN 1 ELSE 0 END AS now FROM r WHERE kept = 0)) WHERE now = 1 OR (na = 0 AND nb = 0)),
+q AS (SELECT a, b, o FROM r WHERE kept = 1)
+SELECT k.o AS record_id, source_url, CASE WHEN short THEN 'too_short' WHEN x.o = k.o AND y.o = k.o THEN 'kept' WHEN x.o < k.o THEN 'duplicate_id' ELSE 'duplicate_text' END AS status
+FROM k LEFT JOIN q x ON x.a = k.a LEFT JOIN q y ON y.b = k.b)"""
+
+
+@query(f"SELECT record_id, status FROM {_GREEDY}")
 def greedy_two_key_dedup(spark, sf):
     return corpus.clean_outcomes(_t(spark, sf, RAW), "record_id").select("record_id", "status")
 
 
-@query()
+@query(f"""SELECT 'input' AS outcome, count(*) AS n FROM {_GREEDY} UNION ALL SELECT s, (SELECT count(*) FROM {_GREEDY} WHERE status = s) FROM (VALUES ('kept'), ('duplicate_id'), ('duplicate_text'), ('too_short')) AS v(s)
+UNION ALL SELECT 'missing_source', count(*) FROM {_GREEDY} WHERE status = 'kept' AND coalesce({_strip('source_url')}, '') = ''""")
 def clean_outcome_counts(spark, sf):
     return corpus.outcome_counts(corpus.clean_outcomes(_t(spark, sf, RAW), "record_id"))
 
@@ -464,8 +479,8 @@ _BODIES = rf"""(WITH m AS (SELECT qa_id, {_collapse("CASE WHEN qa_id % 4 < 3 THE
 b AS (SELECT qa_id, sec, regexp_matches(t, '(?i){_MARKED_SQL}') AS ok, trim(regexp_extract(t, '(?is){_MARKED_SQL}(.*)', 1)) AS b, try_cast(nullif(regexp_extract(sec, '^(\d+)[A-Za-z]?$', 1), '') AS HUGEINT) AS own FROM m),
 c AS (SELECT *, regexp_extract(b, '(?is)^(.*?){_EXPLICIT_SQL}', 1) AS x, try_cast(nullif(regexp_extract(regexp_extract(b, '(?i){_EXPLICIT_SQL}', 1), '^\d+', 0), '') AS HUGEINT) AS xn,
   regexp_split_to_array(b, '{_NEXT_SQL}') AS bt, regexp_extract_all(b, '{_NEXT_SQL}') AS hd, list_transform(regexp_extract_all(b, '{_NEXT_SQL}', 1), lambda n: try_cast(n AS HUGEINT)) AS ns FROM b),
-d AS (SELECT *, CASE WHEN xn > own THEN length(x) END AS ex, list_position(list_transform(ns, lambda n: n > own), true) AS at FROM c),
-e AS (SELECT *, CASE WHEN own IS NOT NULL THEN least(ex, CASE WHEN at > 0 THEN list_sum(list_transform(bt[1:at], lambda z: length(z))) + coalesce(list_sum(list_transform(hd[1:at - 1], lambda z: length(z))), 0) END) END AS cut FROM d),
+d AS (SELECT *, CASE WHEN xn > own THEN length(x) END AS ex, list_position(list_transform(ns, lambda n: n > own), true) AS hit FROM c),
+e AS (SELECT *, CASE WHEN own IS NOT NULL THEN least(ex, CASE WHEN hit > 0 THEN list_sum(list_transform(bt[1:hit], lambda z: length(z))) + coalesce(list_sum(list_transform(hd[1:hit - 1], lambda z: length(z))), 0) END) END AS cut FROM d),
 f AS (SELECT *, CASE WHEN cut IS NULL THEN b ELSE trim(left(b, cut::BIGINT)) END AS body FROM e)
 SELECT qa_id, CASE WHEN NOT ok THEN '{qa.MARKER_NOT_FOUND}' WHEN b = '' THEN '{qa.BODY_EMPTY}' WHEN cut IS NOT NULL AND NOT regexp_matches(body, '[.!?;:][\"''’”)}}\]]*$') THEN '{qa.INCOMPLETE}' ELSE '' END AS cleanup, body AS raw FROM f)"""
 
@@ -521,7 +536,7 @@ def bpe_encode_lengths(spark, sf):
     return _t(spark, sf, DOCS).select("doc_id", F.size(encode(F.coalesce("text", F.lit("")))).alias("tokens"))
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NULL OR text = '' OR true")
+@query("SELECT doc_id FROM documents")
 def token_round_trip(spark, sf):
     # ids decoded and encoded again are the same ids
     load = encoding.sentencepiece_codec()
@@ -763,11 +778,12 @@ def causal_masks(spark, sf):
     return spark.range(1, 17).select(F.col("id").cast("int").alias("n")).select("n", F.array_join(F.transform(m, lambda r: F.array_join(F.transform(r, lambda x: x.cast("int").cast("string")), "")), "/").alias("mask"))
 
 
-@query("""SELECT vec_id, round(ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[l + 1], 6) AS loss, round(list_max(list_transform(x, lambda v: (v - m) / sqrt(d + 1e-5))), 5) AS top, u AS drawn FROM (
-  SELECT *, list_avg(x) AS m, list_var_pop(x) AS d, least(63, (SELECT count(*) FROM (SELECT unnest(x) AS z, generate_subscripts(x, 1) AS i) WHERE false)) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS x, vec_id % 64 AS l FROM embeddings))""")
+@query("""SELECT vec_id, round(ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[l + 1], 6) AS loss, round(list_max(list_transform(x, lambda v: (v - m) / sqrt(d + 1e-5))), 5) AS top,
+  least(63, len(list_filter(range(1, 65), lambda i: list_sum(list_transform(x[1:i], lambda v: exp(v))) / list_sum(list_transform(x, lambda v: exp(v))) <= u))) AS drawn
+FROM (SELECT *, list_avg(x) AS m, list_var_pop(x) AS d FROM (SELECT vec_id, embedding::DOUBLE[] AS x, vec_id % 64 AS l, (vec_id % 97) / 97.0::DOUBLE AS u FROM embeddings))""")
 def position_losses(spark, sf):
     x, label = F.col("embedding").cast("array<double>"), (F.col("vec_id") % 64).cast("int")
-    draw = N.drawn(N.softmax(x), F.lit(0.0))
+    draw = N.drawn(N.softmax(x), (F.col("vec_id") % 97) / F.lit(97.0))
     return _t(spark, sf, "embeddings").select(
         "vec_id", F.round(N.cross_entropy(x, label), 6).alias("loss"), F.round(F.array_max(N.layer_norm(x)), 5).alias("top"), draw.cast("long").alias("drawn"))
 

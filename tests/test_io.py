@@ -36,9 +36,40 @@ def test_streams(spark, tmp_path):
     read = lambda: spark.readStream.schema("k string, t array<int>").parquet(str(src))
     jobs.write_available(jobs.deduplicated(read(), ["k"]), str(tmp_path / "d"), str(tmp_path / "dc"))
     assert spark.read.parquet(str(tmp_path / "d")).count() == 2
-    q = lambda: jobs.write_available(jobs.packed(read(), "k", "t", 3, 0, "t"), str(tmp_path / "p"), str(tmp_path / "pc"))
+    q = lambda: jobs.write_available(jobs.packed(read(), "k", "t", 3, 0, "k"), str(tmp_path / "p"), str(tmp_path / "pc"))
     q()
     spark.createDataFrame([("a", [9])], "k string, t array<int>").write.mode("append").parquet(str(src))
     q()
     got = spark.read.parquet(str(tmp_path / "p")).where(F.col("key") == "a").orderBy("block_no").collect()
     assert [(r["block_no"], r["input_ids"], r["targets"]) for r in got] == [(0, [1, 2, 0], [2, 0, 1]), (1, [1, 2, 0], [2, 0, 9])]
+
+
+def test_tables_need_a_shared_folder_and_are_released(spark, tmp_path):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from corpusloom import session
+
+    assert session.is_local("local[4]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("spark://host:7077") and not session.is_local("yarn")
+    path = {}
+    with session.scratch():
+        path = urlparse(session.table_path(spark, "x")).path
+        spark.range(3).write.parquet(f"file://{path}")
+        assert session.written(spark.range(5), "y").count() == 5 and Path(path).exists()
+    assert not Path(path).exists()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from corpusloom import session
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context))
+
+
+def test_report_is_one_document(spark, tmp_path):
+    files.write_report(spark.range(3), str(tmp_path / "r"), "history")
+    assert files.read_document(spark, str(tmp_path / "r"), "history array<struct<id: long>>").select(F.size("history")).collect()[0][0] == 3

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import numbers as N, text as T
-from corpusloom.operators import answers, chunks, corpus, metrics, packing, qa, retrieval
+from corpusloom.functions import nested, numbers as N, text as T
+from corpusloom.operators import answers, chunks, corpus, encoding, metrics, packing, qa, retrieval
 from corpusloom.operators.ordering import first_wins, ranked
 
 
@@ -79,6 +79,23 @@ def test_greedy_dedup(spark, seed):
     assert {x["o"]: x["status"] for x in got.collect()} == greedy(rows)
 
 
+def test_greedy_dedup_of_long_chains(spark):
+    # neighbours share one key or the other, so each row hangs on the one before
+    rows = [(i, f"c{i // 2}", f"d{(i + 1) // 2}") for i in range(2000)] + [(5000 + i, "hot", f"x{i % 7}") for i in range(300)]
+    df = spark.createDataFrame(rows, "o long, a string, b string")
+    assert {x["o"]: x["status"] for x in corpus.greedy_dedup(df, "a", "b", "o").collect()} == greedy(rows)
+    pairs = df.where("o < 60 or o >= 5000")
+    kept = {x["o"] for x in corpus.greedy_kept(pairs, rounds=1, component_rows=20).collect()}  # components over the bound get rounds
+    assert kept == {o for o, s in greedy([tuple(x) for x in pairs.collect()]).items() if s == "kept"}
+    assert corpus.greedy_dedup(df.limit(0), "a", "b", "o").count() == 0
+
+
+def test_ids_are_stripped_before_they_are_compared(spark):
+    rows = [(1, "A ", " 1", "word " * 50), (2, "A", "1", "other " * 50), (3, "None", "1", "third " * 50), (4, None, "1 ", "fourth " * 50)]
+    out = corpus.clean_outcomes(spark.createDataFrame(rows, "o int, act_id string, section_number string, text string").withColumn("source_url", F.lit("u")), "o")
+    assert {r["o"]: r["status"] for r in out.collect()} == {1: "kept", 2: "duplicate_id", 3: "kept", 4: "duplicate_id"}
+
+
 def test_clean_outcomes(spark):
     t = "word " * 50
     rows = [(1, "A", "1", t, "u"), (2, "A", "1", "short", "u"), (3, "A", "1", t + "x", "u"), (4, "B", "2", t, "u"), (5, "C", "", t + "y", " "), (6, "C", "", t + "z", "u"), (7, None, None, None, None)]
@@ -120,6 +137,22 @@ def test_chunk_pages(spark):
     assert [(r["chunk_id"], r["page_number"], r["section_number"]) for r in got] == [("contract_00001", 1, "1"), ("contract_00002", 2, "1"), ("contract_00003", 3, "1"), ("contract_00004", 3, "2")]
 
 
+def test_a_section_goes_on_in_the_next_file(spark):
+    pages = [("f", 1, "1. First\n title.— Body of one."), ("g", 1, "Text before any heading.\n2A. Second.— Body of two."), ("a", 1, "Text of no section.")]
+    got = chunks.chunk_pages(spark.createDataFrame(pages, "source_file string, page_number int, text string")).orderBy("chunk_id").collect()
+    assert [(r["source_file"], r["section_number"], r["section_title"]) for r in got] == [("a", None, None), ("f", "1", "First\n title."), ("g", "1", "First\n title."), ("g", "2A", "Second.")]
+
+
+def test_headings_against_python(spark, sf):
+    import re
+
+    rows = spark.read.parquet(f"{sf}/indian_contract_act_1872_chunks.parquet").select("chunk_id", "text").where("text is not null").collect()
+    rows = [(r[0], r[1]) for r in rows] + [("x", "1. One - body\n 2. Two\n3. Three— rest\n\n 4A.  Four\nlines – end 5. no — dash"), ("y", "7. " + "t" * 301 + "— x"), ("z", "7. " + "t" * 300 + "— x")]
+    want = {(k, i, m[1], m[2].strip()) for k, t in rows for i, m in enumerate(re.finditer(chunks.HEADING, t))}
+    got = chunks.headings(spark.createDataFrame(rows, "chunk_id string, text string"), ["chunk_id"], "text")
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+
+
 def test_carried_over_partitions(spark):
     rows = [(g, i, v) for g in ("a", None, "b") for i, v in enumerate([None, "x", None, None, "y", None] * 20)]
     got = chunks.carried(spark.createDataFrame(rows, "g string, i int, v string").repartition(7), "v", ["i"], ["g"], "now").collect()
@@ -185,15 +218,22 @@ def test_packing(spark):
         assert sorted((r["block_no"], r["input_ids"], r["targets"]) for r in got.collect()) == want
 
 
-def test_fill_chunks_keeps_oversized_first():
-    count = lambda s: len(s.split())
-    assert qa.fill_chunks([("a b", 2), ("c d e f g", 5), ("h", 1)], count, 3) == ["c d e", "f g", "a b h"]
+def test_answer_chunks_cut_oversized_parts(spark):
+    # the last piece of an oversized part is joined with what stands around it; the others come first
+    assert qa.filled([("a b", 2), ("c d e", None), ("f g", 2), ("h", 1)], 3) == ["c d e", "a b", "f g h"]
+    assert qa.filled([], 3) == [] and qa.filled([("x", 9)], 3) == ["x"] and qa.filled([("x", None)], 3) == ["x"]
+    assert qa.word_pieces([1] * 5, [1] * 5, 3) == [(0, 3), (3, 5)] and qa.word_pieces([9, 1], [9, 1], 3) == [(0, 1), (1, 2)]
+    part = lambda n, c: " ".join([c * 5] * n)
+    text = f"{part(9, 'a')}; {part(25, 'b')}; {part(9, 'c')}. {part(2, 'd')}"
+    got = qa.answer_chunks(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "few words.")], "i int, t string"), ["i"], "t", encoding.word_encoder, most=20).collect()
+    assert [(r["chunk_index"], r["chunk"]) for r in got] == [(0, part(20, "b")), (1, f"{part(9, 'a')}; {part(5, 'b')};"), (2, f"{part(9, 'c')}. {part(2, 'd')}")] and {r["chunk_count"] for r in got} == {3}
 
 
 @pytest.mark.parametrize("answer, status", [
     ("nothing marked", qa.MARKER_NOT_FOUND), ("Section 5:  ", qa.BODY_EMPTY), ("Section 5: cut here without end 6. Next provision", qa.INCOMPLETE),
     ("Section 5: a Collecto~ of many rupees and more words.", qa.CORRUPT), ("Section 5: short.", qa.TOO_SHORT), ("Section 5: long enough body that goes on. Section 4 : metadata", qa.RESIDUAL),
     ("Section : 5 : The officer shall keep all ofthe records. 6. Next", qa.EXTRACTED), (None, qa.MARKER_NOT_FOUND),
+    ("Section 5: The officer 5. The officer shall keep all of the records.", qa.EXTRACTED),
 ])
 def test_section_answers(spark, answer, status):
     got = qa.section_answers(spark.createDataFrame([(answer, "5")], "answer string, section string")).first()
@@ -202,16 +242,107 @@ def test_section_answers(spark, answer, status):
         assert got["body"] == "The officer shall keep all of the records."
 
 
+def test_section_answers_up_to_the_next_provision(spark):
+    rows = [(1, "Section 5: The officer shall keep **5.** A 4. An all of the records. Section 12: The officer"), (2, "Section 5: The officer shall keep **Keeping.** And all of the records: Section 60 : x **7**. Next one")]
+    got = {r["i"]: r["body"] for r in qa.section_answers(spark.createDataFrame(rows, "i int, answer string").withColumn("section", F.lit("5"))).collect()}
+    assert got == {1: "The officer shall keep **5.** A 4. An all of the records.", 2: "The officer shall keep And all of the records:"}
+
+
+def test_section_bodies_of_odd_sections(spark):
+    rows = [(1, "Section 5(a)\\E[: body of it.", "5(a)\\E["), (2, "x Section 5A : own text. 5. Not above 6B. Next", " 5A "), (3, "Section None: kept 7. Next", None), (4, "Section ५: अपना पाठ। ends. ६. Next", "५"),
+            (5, f"Section 9: a. {'9' * 40}. Next", "9"), (6, "sectionS 5: no. SECTION 5: yes 𝒳𝒳. Section 6: next", "5")]
+    got = {r["i"]: (r["cleanup"], r["body"]) for r in qa.section_bodies(spark.createDataFrame(rows, "i int, answer string, section string")).collect()}
+    assert got == {1: ("", "body of it."), 2: ("", "own text. 5. Not above"), 3: ("", "kept 7. Next"), 4: ("", "अपना पाठ। ends."), 5: ("", "a."), 6: ("", "yes 𝒳𝒳.")} | {2: (qa.INCOMPLETE, "")}
+
+
 def test_prepared_and_violations(spark):
-    df = spark.createDataFrame([(1, [5] * 4, [6] * 300, [7] * 20), (2, [5] * 250, [6], [7] * 50), (3, [5], [], [])], "i int, p array<int>, c array<int>, a array<int>")
-    got = qa.prepared(df, "p", "c", "a").withColumn("prompt_length", F.col("prepared_sequence_tokens") - F.col("answer_tokens_used"))
+    words = lambda n, c: " ".join([c] * n)
+    rows = [(1, words(4, "qq"), words(300, "ccc"), words(20, "a")), (2, words(250, "q"), "c", words(50, "a")), (3, "q", "", ""), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, question string, context string, answer string")
+    got = qa.prepared(df, encoding.word_encoder).withColumn("prompt_length", F.col("prepared_sequence_tokens") - F.col("answer_tokens_used"))
     rows = {r["i"]: r for r in got.collect()}
-    assert len(rows[1]["input_ids"]) == 256 and rows[1]["answer_tokens_used"] == 21 and rows[2]["answer_tokens_used"] == 6 and rows[3]["input_ids"] == [5, 3]
+    # context, question, answer; the headings are words of 8, 9 and 7 letters
+    assert rows[1]["input_ids"] == [8, *[3] * 228, 9, 2, 2, 2, 2, 7, *[1] * 20, 3] and rows[1]["answer_tokens_used"] == 21 and rows[1]["prepared_context_tokens"] == 228
+    assert rows[2]["input_ids"] == [8, 9, *[1] * 250, 7, 1, 1, 3] and rows[2]["labels"][253:] == [1, 1, 3] and rows[3]["input_ids"] == [8, 9, 1, 7, 3] and rows[4]["input_ids"] == [8, 9, 7, 3]
     assert all(r["n"] == 0 for r in qa.sequence_violations(got).collect())
+    chunked = qa.chunk_sequences(spark.createDataFrame([("q r", [5] * 300), (None, [4])], "q string, a array<int>"), encoding.word_encoder, "q", "a").collect()
+    assert chunked[0]["input_ids"] == [9, 1, 1, 7, *[5] * 251, 3] and chunked[1]["labels"] == [-100, -100, 4, 3]
     shifted = spark.createDataFrame([([1, 2, 8, 9, 3], [-100, 8, 9, 3, -100], [1] * 5, 2)], "input_ids array<int>, labels array<int>, attention_mask array<int>, prompt_length int")
     assert all(r["n"] == 0 for r in qa.sequence_violations(shifted, shifted=True).collect())
 
 
+def test_v2_sequences(spark):
+    end = "A sentence that ends here. And one that does not end within the cap of characters " + "x" * 200
+    rows = [(1, "q", "Plain answer."), (2, "q", end), (3, "q", "y" * 300), (4, "z" * 300, "Plain answer."), (5, "q", "short"), (6, "q", None), (7, "q:", "Plain answer.")]
+    df = spark.createDataFrame(rows, "i int, q string, a string")
+    got = {r["i"]: r for r in qa.v2_sequences(df, encoding.character_codec, "q", "a", unk=ord(":")).collect()}
+    assert {i: r["answer_truncation"] for i, r in got.items()} == {1: qa.WHOLE, 2: qa.AT_SENTENCE, 3: qa.AT_CAP, 4: qa.NO_ROOM, 5: qa.NO_ANSWER, 6: qa.NO_ANSWER, 7: qa.WHOLE}
+    assert got[1]["prompt_template"] == "q Answer" and got[7]["prompt_template"] == "q: Answer:"  # the first ending without an unknown token, else the first
+    assert got[2]["answer_tokens"] == 26 and got[3]["answer_tokens"] == 160 and got[4]["input_ids"] is None
+    assert got[1]["labels"] == [-100] * 7 + [ord(c) for c in "Plain answer."] + [3, -100] and got[1]["prompt_length"] == 8
+    with pytest.raises(Exception, match="no room"):
+        qa.v2_sequences(df, encoding.character_codec, "q", "a", strict=True).collect()
+
+
+def test_answer_prompt(spark):
+    df = spark.createDataFrame([(1, "c" * 300 + "end", " why? "), (2, None, "why?")], "qid int, context string, query string")
+    got = {r["qid"]: r["prompt"] for r in answers.answer_prompt(df, encoding.character_codec).collect()}
+    tail = "\n\nQUESTION\nwhy?\n\nANSWER USING ONLY THE RETRIEVED CONTEXT:\n"
+    assert len(got[1]) == 240 and got[1].endswith("cend" + tail) and got[2] == tail
+    with pytest.raises(Exception, match="no room"):
+        answers.answer_prompt(df, encoding.character_codec, tokens=20).collect()
+    with pytest.raises(Exception, match="blank"):
+        answers.context(df.withColumn("query", F.lit(" ")), spark.createDataFrame([], "qid int, rank int, section_number string, section_title string, page_number int, text string")).collect()
+
+
+def test_small_functions(spark):
+    assert one(spark, 3, N.causal_mask, "int") == [[True, False, False], [True, True, False], [True, True, True]] and one(spark, 0, N.causal_mask, "int") == []
+    assert one(spark, [1, 1, 2, 1], lambda c: N.unknown_count(c, F.lit(3)), "array<int>") == 2
+    assert one(spark, [0.0, 0.0], lambda c: N.cross_entropy(c, F.lit(1)), "array<double>") == pytest.approx(0.693147, abs=1e-5) and one(spark, [0.0], lambda c: N.cross_entropy(c, F.lit(-100)), "array<double>") is None
+    assert [one(spark, [0.25, 0.5, 0.25], lambda c, u=u: N.drawn(c, F.lit(u)), "array<double>") for u in (0.0, 0.25, 0.74, 0.999)] == [0, 1, 1, 2]
+    assert one(spark, '{"a": {"b": 3}, "n": 4}', lambda c: nested.resolved(c, ["x", "a.b"], 9)) == "3" and one(spark, None, lambda c: nested.resolved(c, ["x"], 9)) == "9"
+    rows = spark.createDataFrame([("x", None), (None, "y")], "n string, state string").withColumns({"jurisdiction": F.col("n"), "text": F.lit(" a ")})
+    assert sorted(r["jurisdiction"] for r in encoding.encoded_records(rows.withColumn("state", F.lit("s")), encoding.word_encoder, ["n"]).collect()) == ["s", "x"]
+    assert "T" in spark.range(1).select(nested.now_utc().alias("t")).first()["t"]
+    got = qa.summary(spark.createDataFrame([("train", 3), ("train", 5)], "split string, v int"), {"odd": F.col("v") % 2}, {"top": F.col("v")}).collect()
+    assert {r["split"]: (r["records"], r["odd"], r["top"]) for r in got} == {"train": (2, 2, 5), "validation": (0, 0, 0), "test": (0, 0, 0)}
+
+
+def test_counted_terms(spark):
+    assert [tuple(x) for x in one(spark, ["b", "a", "b", "c", "b"], retrieval.counted_terms, "array<string>")] == [("a", 1), ("b", 3), ("c", 1)]
+    assert one(spark, [], retrieval.counted_terms, "array<string>") == [] and one(spark, None, retrieval.counted_terms, "array<string>") == []
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "KEY_ROWS", 10)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(300)], "i int, term string")
+    table = rows.groupBy("term").agg(F.count("*").alias("df")).withColumn("v", F.length("term"))
+    got = retrieval.spread_join(rows, table, "term", "df").collect()
+    assert sorted((r["i"], r["v"]) for r in got) == [(i, 3 if i % 2 else 2) for i in range(300)]
+
+
+def test_dense_topk_in_blocks(spark):
+    r = random.Random(3)
+    rows = [(i, [r.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(80)] + [(90, [0.0] * 4), (91, None)]
+    v = spark.createDataFrame(rows, "id int, v array<double>").repartition(5)
+    got = retrieval.dense_topk(v.where("id % 20 = 0"), v, "id", "v", 3, block=2)
+    norm = lambda x: sum(y * y for y in x) ** 0.5
+    want = set()
+    for q, x in rows:
+        if q % 20 == 0:
+            s = sorted((-round(sum(a * b for a, b in zip(x, y)) / (norm(x) * norm(y) or 1), 6) if y and norm(y) * norm(x) else 0.0, i) for i, y in rows if i != q)
+            want |= {(q, i, k + 1) for k, (_, i) in enumerate(s[:3])}
+    assert {(x["qid"], x["id"], x["rank"]) for x in got.collect()} == want
+
+
+def test_quoted_boosts_in_blocks(spark):
+    texts = [("a", "The Fee is due.", "Fee"), ("b", None, "the fee is"), ("c", "no", None)]
+    c = spark.createDataFrame(texts, "chunk_id string, text string, section_title string")
+    q = spark.createDataFrame([(1, "the fee is"), (2, "FEE "), (3, ""), (4, "fee"), (5, None)], "qid int, query string")
+    got = {(r["qid"], r["chunk_id"]): r["boost"] for r in retrieval.quoted_boosts(q, c, "chunk_id", block=1).collect()}
+    assert got == {(1, "a"): 0.2, (1, "b"): 0.25, (2, "a"): 0.45, (2, "b"): 0.25, (4, "a"): 0.45, (4, "b"): 0.25}
+
+
 def test_metrics(spark):
     h = spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 2.0), (4, 2.5)], "step int, loss double").withColumn("run", F.lit(1))
     assert [r["improved"] for r in metrics.running_best(h, ["run"], "step", "loss").orderBy("step").collect()] == [True, True, False, False]
