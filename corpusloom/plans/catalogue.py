@@ -647,7 +647,7 @@ def qa_v2_outcomes(spark, sf):
     return qa.status_counts(_v2(spark, sf), "answer_truncation", (qa.WHOLE, qa.AT_SENTENCE, qa.AT_CAP, qa.NO_ROOM, qa.NO_ANSWER))
 
 
-@query("""SELECT qa_id, i[1:100] = p AND NOT list_contains(p, 32767) AS whole_prompt, len(i) AS tokens, how FROM (SELECT qa_id, p, how, list_concat(p, a, [3]) AS i FROM (
+@query(r"""SELECT qa_id, i[1:100] = p AND NOT list_contains(p, 32767) AS whole_prompt, len(i) AS tokens, how FROM (SELECT qa_id, p, how, list_concat(p, a, [3]) AS i FROM (
   SELECT qa_id, p, CASE WHEN 255 - len(p) < 8 THEN 'prompt_too_long' WHEN length(t) < 8 THEN 'answer_too_short' WHEN length(t) <= m THEN 'complete' WHEN length(s) BETWEEN 8 AND m THEN 'sentence_boundary' ELSE 'hard_token_cap' END AS how,
     list_transform(string_split(CASE WHEN length(t) <= m THEN t WHEN length(s) BETWEEN 8 AND m THEN s ELSE left(t, m) END, ''), lambda c: unicode(c)) AS a
   FROM (SELECT *, trim(regexp_extract(left(t, m), '(?s)^.*[.!?]["”’'')\]]*(?:\s+|$)', 0)) AS s FROM (SELECT qa_id, t, p, greatest(0, least(160, 255 - len(p))) AS m FROM (
