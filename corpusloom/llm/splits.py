@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
-from .graph import components
+from ..operators.graph import components
 from .skew import lookup
 
 SPLITS = ("train", "validation", "test")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import graph, overlap, splits
+from corpusloom.llm import overlap, splits
+from corpusloom.operators import graph
 
 
 def union_find(pairs):
