@@ -23,6 +23,7 @@ import io
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from dataclasses import dataclass
 
 import numpy as np
@@ -228,22 +229,24 @@ class Scorer:
         self.at = {int(f): i for i, f in enumerate(p.features)}
         self.out, self.b, self.keep = (p.E @ p.V).astype(np.float32), p.b, keep
         self.word_id: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows, self.filled = np.zeros((1024, len(p.b)), np.float32), 0
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
         width = len(self.b)
         if len(self.word_id) > self.keep:
-            self.word_id, self.rows = {}, []
+            self.word_id, self.filled = {}, 0
         word, sentence, doc = tokens(texts, self.word_id)
-        if len(self.rows) < len(self.word_id):
-            for w in list(self.word_id)[len(self.rows) :]:
-                f = word_features(w)
-                hit = [self.at[x] for x in f if x in self.at]
-                self.rows.append(self.out[hit].sum(0) / len(f) if hit else np.zeros(width, np.float32))
+        if len(self.word_id) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((2 * len(self.word_id) - len(self.rows), width), np.float32)])
+        for w in islice(self.word_id, self.filled, None):
+            f = word_features(w)
+            hit = [self.at[x] for x in f if x in self.at]
+            self.rows[self.filled] = self.out[hit].sum(0) / len(f) if hit else 0.0
+            self.filled += 1
         if not len(word):
             return np.zeros((len(texts), width))
         n = int(sentence[-1]) + 1
-        sums = _sum_rows(np.array(self.rows)[word], sentence, n)
+        sums = _sum_rows(self.rows[word], sentence, n)
         prob = 1 / (1 + np.exp(-np.clip(sums / np.bincount(sentence, minlength=n)[:, None] + self.b, -30, 30)))
         owner = np.zeros(n, np.int64)
         owner[sentence] = doc
