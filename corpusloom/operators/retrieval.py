@@ -73,22 +73,21 @@ def idf(counts: DataFrame, key: str, documents: int) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings(key, term, weight), norms(key, norm), idf(term, df, idf)."""
+    """counts(key, term, total, tf), norms(key, norm), idf(term, df, idf). A text's weight of a term is tf / total * idf."""
 
     key: str
-    postings: DataFrame
+    counts: DataFrame
     norms: DataFrame
     idf: DataFrame
 
 
 def build_index(df: DataFrame, key: str, text: Column) -> Index:
-    """Index of texts; N counts all of them, empty ones too. Terms are counted once and written, and so are their weights, which meet the counts by a salted join: a term may stand in every text."""
+    """Index of texts; N counts all of them, empty ones too. Terms are counted once and written; only norms need the weights of all terms, which meet the counts by a salted join: a term may stand in every text."""
     counts = written(term_counts(df, key, text), "index-terms")
     weights = written(idf(counts, key, df.count()), "index-idf")
-    postings = written(
-        spread_join(counts, weights, "term", "df").select(key, "term", (F.col("tf") / F.col("total") * F.col("idf")).alias("weight")), "index-postings")
-    norms = postings.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return Index(key, postings, norms, weights)
+    weight = F.col("tf") / F.col("total") * F.col("idf")
+    norms = spread_join(counts, weights, "term", "df").groupBy(key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    return Index(key, counts, written(norms, "index-norms"), weights)
 
 
 #: Rows of one key that a task may get in :func:`spread_join`.
@@ -112,20 +111,21 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFram
 
 
 def query_terms(queries: DataFrame, concepts: DataFrame, index: Index, qid: str = "qid", query: str = "query") -> DataFrame:
-    """(qid, term, weight, norm): weights of a query's terms and those of its concepts; unknown terms count in the total only."""
+    """(qid, term, weight, idf, norm): weights of a query's terms and those of its concepts; unknown terms count in the total only."""
     own = queries.select(qid, F.explode_outer(T.terms(F.col(query))).alias("term")).where("term is not null")
     more = detected(queries, concepts, query).select(qid, F.explode("terms").alias("term"))
-    every = written(own.unionAll(more), "query-terms")
+    every = own.unionAll(more)
     total = every.groupBy(qid).agg(F.count("*").alias("total"))
     x = every.groupBy(qid, "term").agg(F.count("*").alias("n")).join(total, qid).join(index.idf, "term")
-    x = x.select(qid, "term", (F.col("n") / F.col("total") * F.col("idf")).alias("weight"))
+    x = written(x.select(qid, "term", (F.col("n") / F.col("total") * F.col("idf")).alias("weight"), "idf"), "query-weights")
     norms = x.groupBy(qid).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return x.join(norms, qid)
 
 
 def cosine(index: Index, q: DataFrame, qid: str = "qid") -> DataFrame:
-    """(qid, key, base): similarity of queries and texts with a term in common. Only postings of the queries' terms take part; AQE broadcasts small query sets."""
-    hits = index.postings.withColumnRenamed("weight", "dw").join(q, "term").groupBy(qid, index.key, "norm").agg(F.sum(F.col("weight") * F.col("dw")).alias("dot"))
+    """(qid, key, base): similarity of queries and texts with a term in common. Only the queries' terms take part; AQE broadcasts small query sets."""
+    counts = index.counts.withColumnRenamed("total", "all")
+    hits = counts.join(q, "term").groupBy(qid, index.key, "norm").agg(F.sum(F.col("weight") * F.col("tf") / F.col("all") * F.col("idf")).alias("dot"))
     return hits.withColumnRenamed("norm", "qn").join(index.norms, index.key).select(qid, index.key, F.coalesce(F.col("dot") / F.nullif(F.col("qn") * F.col("norm"), F.lit(0.0)), F.lit(0.0)).alias("base"))
 
 
