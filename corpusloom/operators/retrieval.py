@@ -216,16 +216,18 @@ def boosts(queries: DataFrame, chunks: DataFrame, concepts: DataFrame, key: str,
 
 
 def search(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id", top_k: int = TOP_K, concepts: DataFrame | None = None, index: Index | None = None) -> DataFrame:
-    """qid, key, score, rank: the best *top_k* chunks of each query with a score over 0; ties go to the earlier key."""
+    """qid, key, score, rank: the best *top_k* chunks of each query with a score over 0; ties go to the earlier key. A query asked more than once is sought once."""
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
     concepts = concept_table(chunks.sparkSession) if concepts is None else concepts
     index = index or build_index(chunks, key, F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("section_title", F.lit("")), F.coalesce("section_number", F.lit(""))))
-    base = cosine(index, query_terms(queries, concepts, index))
-    both = base.join(boosts(queries, chunks, concepts, key), ["qid", key], "full")
+    asked = written(queries.select("query").distinct().withColumn("qid", F.monotonically_increasing_id()), "queries")
+    base = cosine(index, query_terms(asked, concepts, index))
+    both = base.join(boosts(asked, chunks, concepts, key), ["qid", key], "full")
     score = F.coalesce("base", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))
     hits = both.select("qid", key, score.alias("s"), F.coalesce("late", F.lit(0.0)).alias("late")).where("s > 0").select("qid", key, F.round(F.col("s") + F.col("late"), 9).alias("score"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).where(F.col("rank") <= top_k)
+    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).where(F.col("rank") <= top_k)
+    return queries.select("qid", "query").join(best.join(asked, "qid").drop("qid"), "query").select("qid", key, "score", "rank")
 
 
 def hit_rates(hits: DataFrame, cases: DataFrame, sections: DataFrame, key: str = "chunk_id", at: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
