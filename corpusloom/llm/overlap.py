@@ -257,6 +257,20 @@ def overlaps(df: DataFrame, **options) -> DataFrame:
     )
 
 
+def links(df: DataFrame, **options) -> DataFrame:
+    """(row_id, cls, n_links): a row for each row with words, its class of equal words, and how many rows of the other side are near-same. Sizes of classes are summed, copies are not expanded."""
+    near, members = near_classes(df, **options)
+    sides = near.select("x", "y").union(near.where("x <> y").select("y", "x"))
+    sizes = written(members.groupBy("cls", "train").agg(F.count("*").alias("n")), "p5-sizes")
+    # partners of a class on either side; a class is its own partner where both sides hold it
+    per = sides.join(sizes.select(F.col("cls").alias("y"), F.col("train").alias("other"), "n"), "y").groupBy(F.col("x").alias("cls"), (~F.col("other")).alias("train")).agg(F.sum("n").alias("n_links"))
+    # a class may hold a third of all rows
+    side = F.struct("cls", "train").alias("side")
+    table = per.join(sizes, ["cls", "train"]).select(side, "n_links", "n")
+    got = lookup(members.select("row_id", "cls", side), table, "side", "n", members.count())
+    return got.select("row_id", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def report(df: DataFrame, source: str = "source_publisher", **options) -> DataFrame:
     """(split, source, n_pairs, n_held, n_train): confirmed pairs by the held-out row's split and source. Classes are counted and their sizes multiplied, so copies cost nothing."""
     near, members = near_classes(df, source=source, **options)

@@ -23,6 +23,10 @@ def p1_found(spark, sf):
     return splits.tied_acts(_records(spark, sf))
 
 
+def p1_groups(spark, sf):
+    return splits.act_groups(_records(spark, sf)).select("act_id", F.lower(F.hex("root")).alias("root"))
+
+
 def p1_assignment(spark, sf):
     return splits.assign(_records(spark, sf))
 
@@ -103,6 +107,10 @@ def p5_found(spark, sf):
     return overlap.overlaps(_t(spark, sf, "splits")).select("row_id_a", "row_id_b")
 
 
+def p5_links(spark, sf):
+    return overlap.links(_t(spark, sf, "splits"))
+
+
 def p5_report(spark, sf):
     return overlap.report(_t(spark, sf, "splits"))
 

@@ -64,9 +64,14 @@ def act_roots(records: DataFrame) -> DataFrame:
     return pairs.select("act").distinct().join(roots, "act", "left").select("act", F.coalesce("root", "act").alias("root"))
 
 
+def act_groups(records: DataFrame) -> DataFrame:
+    """(act_id, root): each spelling of an act with the least act of its component; a row a spelling, however many are tied."""
+    return records.where("act is not null").select("act_id", "act").distinct().join(act_roots(records), "act").select("act_id", "root")
+
+
 def tied_acts(records: DataFrame) -> DataFrame:
     """p1_found: every pair of different act_id spellings that must share a split."""
-    ids = records.where("act is not null").select("act_id", "act").distinct().join(act_roots(records), "act").select("act_id", "root")
+    ids = act_groups(records)
     many = ids.groupBy("root").count().where("count > 1").select("root")
     ids = written(ids.join(many, "root"), "p1-ids")
     a, b = ids.select("root", F.col("act_id").alias("act_id_a")), ids.select("root", F.col("act_id").alias("act_id_b"))

@@ -50,6 +50,10 @@ def records(spark, rows=SPLITS, qa=((1, "F-6", "w"), (2, None, None))):
 def test_tied_acts(spark):
     got = {tuple(r) for r in splits.tied_acts(records(spark)).collect()}
     ties = [{"A-1", " a1 ", "B-2"}, {"C-3", "c 3", "D-4"}, {"E-5", "F-6"}]
+    groups = {}
+    for x in splits.act_groups(records(spark)).collect():
+        groups.setdefault(bytes(x["root"]), set()).add(x["act_id"])
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, [*ties, {"A-11"}]))
     assert got == {tuple(sorted(p)) for t in ties for p in combinations(sorted(t), 2)}
     assert splits.tied_acts(records(spark, [(1, None, None)][:0], ())).count() == 0
 
@@ -109,6 +113,9 @@ def test_overlaps(spark):
     assert set(got) == want and len(want) > 100
     # elements of many pairs are parted, and the pairs are the same
     assert {(x["row_id_a"], x["row_id_b"]) for x in overlap.overlaps(df, block_pairs=3).collect()} == want
+    # links of rows are those of the pairs
+    linked = {x["row_id"]: x["n_links"] for x in overlap.links(df).collect()}
+    assert linked == {i: sum(i in p for p in want) for i in linked} and {i for p in want for i in p} <= set(linked) and not {900, 901, 902, 903} & set(linked)
     # counts of classes are those of the pairs
     of = {x[0]: x[1] for x in rows}
     named = df.withColumn("source_publisher", F.when(F.col("row_id") % 3 > 0, F.concat(F.lit("s"), (F.col("row_id") % 3).cast("string"))))
